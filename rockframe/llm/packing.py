@@ -16,6 +16,7 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ CAPACITY, END_ID, BUCKET_ROWS = 1024, 0, 4096
 CACHE_UNITS = 400_000
 
 
+@lru_cache(maxsize=1)
 def load_encoder(path: str):
     """Text to ids as the tokenizers library gives for a byte-level BPE file, special strings being ordinary text.
 

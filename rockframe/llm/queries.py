@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rockframe.llm import packing, sharding, simhash, winnow
+from rockframe.llm import langid, packing, quality, sharding, simhash, spm, toxicity, winnow
 from rockframe.runtime import table
 
 
@@ -27,17 +27,47 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select(F.col("k0").alias("doc_id"), *quality.BASE, "base_failed", "kept", "distance")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    known = labels.where(langid.fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    field = toxicity.fit(docs.where(langid.fold("doc_id", 4) != 2).join(known, "doc_id"))
+    out = toxicity.score(docs, field)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        (langid.fold("id", 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("spans"),
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.fold("doc_id", 3) != 1))
+    out = langid.predict(docs, model, keep=["doc_id"])
+    return out.select(F.col("k0").alias("doc_id"), (langid.fold("k0", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_document_fingerprints, op5_sharding, op10_packing)
+    for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_quality_rules, op4_toxicity, op5_sharding, op7_sentencepiece, op9_language_id, op10_packing)
 }
 
 ORACLE: dict[str, str] = {}
