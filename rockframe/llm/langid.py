@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT_ROWS, WORDS, GRAMS, ORDERS = 6000, 20000, 6000, (5, 4, 3, 2, 1)
+FIT_ROWS, WORDS, GRAMS, ORDERS = 3000, 20000, 6000, (5, 4, 3, 2, 1)
 #: A word counts as known if so many fitted texts' worth of it was seen.
 MIN_COUNT, CACHE_WORDS, UND = 3, 300_000, "und"
 _words = re.compile(r"[^\W\d_]+").findall

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rockframe.llm import langid, packing, quality, sharding, simhash, spm, toxicity, winnow
+from rockframe.llm import langid, packing, pii, quality, secrets, sharding, simhash, spm, toxicity, winnow
 from rockframe.runtime import table
 
 
@@ -50,10 +50,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.fold("doc_id", 3) != 1))
@@ -67,7 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_quality_rules, op4_toxicity, op5_sharding, op7_sentencepiece, op9_language_id, op10_packing)
+    for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_quality_rules, op4_toxicity, op5_sharding, op6_pii, op7_sentencepiece, op8_secret_scan, op9_language_id, op10_packing)
 }
 
 ORACLE: dict[str, str] = {}
