@@ -51,9 +51,10 @@ class PieceCodec:
         if any(MARK in p.lstrip(MARK) for p in self.id) or {c for p in self.id for c in p} - set(self.id) or len(self.id_of_byte) != 256:
             raise ValueError(f"{path}: not a model of the kind this codec reads")
         auto = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            if len(p) == 1 or self._merge(p) == [p]:  # others never come out of merging
-                auto.add_word(p, (i, len(p)))
+        self.made = {p for p in self.id if len(p) == 1 or self._merge(p) == [p]}  # others never come out of merging
+        for p in self.made:
+            auto.add_word(p, (self.id[p], len(p)))
+        self.beside = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
         auto.make_automaton()
         self.matches = auto.iter
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -86,7 +87,11 @@ class PieceCodec:
         if len(self.tolerates) >= CACHE_PAIRS:
             self.tolerates.clear()
         p, q = self.piece[a], self.piece[b]
-        ok = self.tolerates[a << 32 | b] = self._merge(p + q) == [p, q]
+        if p[-1] + q[0] not in self.beside:  # nothing spans the seam
+            ok = True
+        else:  # a token that comes out of merging is what its own text gives
+            ok = p + q not in self.made and self._merge(p + q) == [p, q]
+        self.tolerates[a << 32 | b] = ok
         return ok
 
     def _stretch(self, text: str) -> list[int]:
