@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rockframe.runtime import materialize
 
-SHARDS, SEED, BUCKET_ROWS = 40, 7, 4096
+SHARDS, SEED, BUCKET_ROWS = 40, 7, 256
 LAW = "rows"
 
 
