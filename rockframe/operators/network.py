@@ -1,0 +1,82 @@
+"""Pore networks as vertex and edge tables, and relative-permeability curves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rockframe.functions.classify import conductivity, series
+from rockframe.operators.components import connected_components
+from rockframe.operators.joins import with_ends
+
+
+def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, component) of every vertex on an edge."""
+    return connected_components(edges, a, b)
+
+
+def sub_network(pores: DataFrame, throats: DataFrame, keep: DataFrame, pore: str, ends: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The pores in ``keep`` renumbered from 0 by id, and the throats between them with the new numbers."""
+    ids = pores.join(keep.select(pore), pore, "left_semi").select(pore).distinct().withColumn("new_id", F.row_number().over(Window.orderBy(pore)) - 1)
+    own = pores.join(ids, pore)
+    for i, e in enumerate(ends):
+        throats = throats.join(ids.select(F.col(pore).alias(e), F.col("new_id").alias(f"new_{i}")), e)
+    return own, throats
+
+
+def throat_conductance(throats: DataFrame, pores: DataFrame, pore: str, ends: tuple[str, str]) -> DataFrame:
+    """Adds conductance: pore, throat and pore in series. Pores have radius, shape and length; throats too."""
+    both = with_ends(throats, pores, pore, ends, ["radius", "shape", "length"])
+    k = [conductivity(F.col(f"radius_{i}"), F.col(f"shape_{i}")) for i in (0, 1)]
+    mid = conductivity(F.col("radius"), F.col("shape"))
+    return both.withColumn("conductance", series((F.col("length_0"), k[0]), (F.col("length"), mid), (F.col("length_1"), k[1])))
+
+
+def boundary_flow(throats: DataFrame, pores: DataFrame, pore: str, ends: tuple[str, str], viscosity: float) -> DataFrame:
+    """One row (inlet, outlet, flow): flow over throats between one face pore and one inner pore, and the mean of both faces.
+
+    Pores have pressure, inlet and outlet; throats have conductance.
+    """
+    both = with_ends(throats, pores, pore, ends, ["pressure", "inlet", "outlet"])
+    q = F.abs(F.col("pressure_1") - F.col("pressure_0")) * F.col("conductance") / viscosity
+    inner = lambda i: ~F.col(f"inlet_{i}") & ~F.col(f"outlet_{i}")
+    at = lambda face: (F.col(f"{face}_0") & inner(1)) | (F.col(f"{face}_1") & inner(0))
+    sums = both.agg(*[F.coalesce(F.sum(F.when(at(f), q)), F.lit(0.0)).alias(f) for f in ("inlet", "outlet")])
+    return sums.withColumn("flow", (F.col("inlet") + F.col("outlet")) / 2)
+
+
+def network_summary(pores: DataFrame, volume: str, phase: str, porosity: str) -> DataFrame:
+    """Resolved (phase 1) volume, sub-resolution (phase 2) volume and its pore space, and their sum."""
+    v = F.col(volume)
+    part = lambda k, x: F.coalesce(F.sum(F.when(F.col(phase) == k, x)), F.lit(0.0))
+    return pores.agg(part(1, v).alias("resolved"), part(2, v).alias("unresolved"), part(2, v * F.col(porosity)).alias("unresolved_pore"), (part(1, v) + part(2, v * F.col(porosity))).alias("pore_volume"))
+
+
+def pore_shape_factors(throats: DataFrame, ends: tuple[str, str], shape: str, area: str) -> DataFrame:
+    """(pore, shape): mean of the shape factors of a pore's throats, by their area."""
+    both = throats.select(F.col(ends[0]).alias("pore"), shape, area).unionAll(throats.select(F.col(ends[1]).alias("pore"), shape, area))
+    return both.groupBy("pore").agg((F.sum(F.col(shape) * F.col(area)) / F.sum(area)).alias("shape"))
+
+
+def curve_points(curves: DataFrame, by: str, cycle: str, order: str, sw: str, krw: str, kro: str) -> DataFrame:
+    """Per simulation, of its second cycle: swi, kro_swi, swr, krw_swr, and the crossing of both curves (0 where there is none).
+
+    The crossing is at the first row after the first with kro <= krw, linear
+    between it and the row before; equal saturations count as 1e-5 apart.
+    """
+    two = curves.where(F.col(cycle) == 2)
+    w = Window.partitionBy(by).orderBy(order)
+    p = lambda c: F.lag(c).over(w)
+    rows = two.select(by, order, sw, krw, kro, p(sw).alias("s0"), p(krw).alias("w0"), p(kro).alias("o0"))
+    ds = F.when(F.col(sw) == F.col("s0"), 1e-5).otherwise(F.col(sw) - F.col("s0"))
+    slope_w, slope_o = (F.col(krw) - F.col("w0")) / ds, (F.col(kro) - F.col("o0")) / ds
+    step = F.when(slope_w == slope_o, 0.0).otherwise((F.col("o0") - F.col("w0")) / (slope_w - slope_o))
+    cross = F.when(F.col("s0").isNotNull() & (F.col(kro) <= F.col(krw)), F.struct(F.col(order), (F.col("s0") + step).alias("s"), (F.col("w0") + slope_w * step).alias("k")))
+    rows = rows.withColumn("_x", cross)
+    first, last = (lambda c: F.min_by(c, order)), (lambda c: F.max_by(c, order))
+    return rows.groupBy(by).agg(first(sw).alias("swi"), first(kro).alias("kro_swi"), last(sw).alias("swr"), last(krw).alias("krw_swr"), F.coalesce(F.min("_x")["s"], F.lit(0.0)).alias("sw_cross"), F.coalesce(F.min("_x")["k"], F.lit(0.0)).alias("k_cross"))
+
+
+def mean_curve(curves: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Mean over simulations at each place, leaving nulls and NaN out."""
+    return curves.groupBy(*by).agg(*[F.avg(F.when(~F.isnan(F.col(v).cast("double")), F.col(v))).alias(v) for v in values])

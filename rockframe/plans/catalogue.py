@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from rockframe.plans import table_queries  # noqa: F401
+from rockframe.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
