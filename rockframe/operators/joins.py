@@ -33,8 +33,9 @@ def duplicate_marks(df: DataFrame, depth: str, key: str, angle: str, delta: floa
 
     A mark counts as paired if exactly one other lies within delta of it.
     """
-    near = Window.partitionBy(*by).orderBy(depth).rangeBetween(-delta, delta)
-    group = df.withColumn("_g", F.sort_array(F.collect_list(key).over(near)))
+    keys = ", ".join(f"`{b}`" for b in by)  # in SQL, since the API's ranges are whole numbers
+    near = f"collect_list(`{key}`) OVER (PARTITION BY {keys} ORDER BY cast(`{depth}` AS double) RANGE BETWEEN {delta}D PRECEDING AND {delta}D FOLLOWING)"
+    group = df.withColumn("_g", F.sort_array(F.expr(near)))
     twins = group.where(F.size("_g") == 2)
     best = twins.groupBy(*by, "_g").agg(F.min_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(F.abs(F.col(angle) - target), F.col(key))).alias("b"), F.count(F.lit(1)).alias("n"))
     return best.where("n = 2").select(*by, "b.*")
