@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,25 +130,33 @@ def _estimate(mean: np.ndarray, cov: np.ndarray) -> dict:
     return {"mu": mean.tolist(), "prec": [float(p[i, j] * (1 if i == j else 2)) for i, j in _PAIRS]}
 
 
-def _from_bins(bins: pd.DataFrame) -> pd.DataFrame:
-    """A group's next estimate from its sums per distance bin."""
-    bins = bins.sort_values("bin")
-    upto = int(np.searchsorted(bins["n"].cumsum().to_numpy(), CORE * bins["n"].sum()))
-    s = bins.iloc[: upto + 1].sum(numeric_only=True)
-    mean = np.array([s[f"s{i}"] for i in range(len(FEATURES))]) / s["n"]
-    cov = np.zeros((len(FEATURES),) * 2)
-    for k, (i, j) in enumerate(_PAIRS):
-        cov[i, j] = cov[j, i] = s[f"q{k}"] / s["n"] - mean[i] * mean[j]
+def _models(estimate):
+    """A task over groups: one row (g, values) per group to one row of its model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [estimate(v) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m["mu"] for m in got], pa.list_(pa.float64())), pa.array([m["prec"] for m in got], pa.list_(pa.float64()))], names=["g", "mu", "prec"])
+
+    return run
+
+
+def _from_bins(bins: list[list[float]]) -> dict:
+    """A group's next estimate from its sums per distance bin: [bin, n, sums, sums of products]."""
+    rows = np.array(sorted(bins))
+    n, f = rows[:, 1], len(FEATURES)
+    upto = int(np.searchsorted(n.cumsum(), CORE * n.sum()))
+    s = rows[: upto + 1, 1:].sum(0)
+    mean, cov = s[1 : f + 1] / s[0], np.zeros((f, f))
+    for (i, j), q in zip(_PAIRS, s[f + 1 :], strict=True):
+        cov[i, j] = cov[j, i] = q / s[0] - mean[i] * mean[j]
     values, vectors = np.linalg.eigh(cov)  # rounding may leave tiny negatives
-    est = _estimate(mean, (vectors * np.maximum(values, 0)) @ vectors.T)
-    return pd.DataFrame([{"g": bins["g"].iloc[0], **est}])
+    return _estimate(mean, (vectors * np.maximum(values, 0)) @ vectors.T)
 
 
-def _first(row: pd.DataFrame) -> pd.DataFrame:
-    q = row.iloc[0]
-    mid = np.array([q[f"p{i}"][1] for i in range(len(FEATURES))])
-    spread = np.array([(q[f"p{i}"][2] - q[f"p{i}"][0]) / 1.349 for i in range(len(FEATURES))])
-    return pd.DataFrame([{"g": q["g"], **_estimate(mid, np.diag(spread**2))}])
+def _first(quartiles: list[list[float]]) -> dict:
+    q = np.array(quartiles)
+    return _estimate(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
 
 
 MODEL = "g bigint, mu array<double>, prec array<double>"
@@ -178,12 +185,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     lang, source = f"k{len(keep)}", f"k{len(keep) + 1}"
     rows = materialize(grouped(features(stats, corpus_rates(stats)), lang, source, min_group))
     fit = rows.where(~base_failed())
-    start = fit.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, x in enumerate(FEATURES)])
-    model = materialize(start.groupBy("g").applyInPandas(_first, MODEL))
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]]
+    start = fit.groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
+    model = materialize(start.mapInArrow(_models(_first), MODEL))
+    sums = [F.count(F.lit(1)).cast("double"), *[F.sum(x) for x in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS]]
     for _ in range(steps):
         far = fit.join(model, "g").withColumn("bin", F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(4 * F.log2(_distance() + 1e-6)))).cast("int"))
-        model = materialize(far.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(_from_bins, MODEL))
+        bins = far.groupBy("g", "bin").agg(F.array(F.col("bin").cast("double"), *sums).alias("row"))
+        model = materialize(bins.groupBy("g").agg(F.collect_list("row").alias("values")).mapInArrow(_models(_from_bins), MODEL))
     out = rows.join(model, "g", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
     out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
     return out.select(*[f"k{i}" for i in range(len(keep))], *BASE, *FEATURES, "distance", "base_failed", "kept")
