@@ -74,21 +74,30 @@ def _planes(fps: np.ndarray) -> list[int]:
 
 
 def close_at(planes: list[int], shift: int, alive: int, radius: int) -> int:
-    """Bit i: rows i and i + shift, alive at first, differ in ``radius`` bits at most.
+    """Bit i: rows i and i + shift, alive at first, differ in ``radius`` bits at most."""
+    return _within(((p ^ (p >> shift)) for p in planes), alive, radius)
 
-    ``level[j]`` has the pairs with more than j differences so far: the
-    carry-save counter, saturating past the radius.
+
+def _within(differences: Iterator[int], alive: int, radius: int) -> int:
+    """Pairs of which at most ``radius`` of the difference planes are set.
+
+    Carry-save counters: count[j] has bit j of every pair's count. They start
+    at 2^k - 1 - radius, so passing the radius is a carry out of the top, which
+    kills the pair; the block is abandoned once no pair lives.
     """
-    level = [0] * (radius + 1)
-    for plane in planes:
-        carry = (plane ^ (plane >> shift)) & alive
-        for j in range(radius + 1):
-            level[j], carry = level[j] | carry, level[j] & carry
+    k = radius.bit_length()
+    bias = (1 << k) - 1 - radius
+    count = [alive if bias >> j & 1 else 0 for j in range(k)]
+    for carry in differences:
+        carry &= alive
+        for j in range(k):
             if not carry:
                 break
-        alive &= ~level[radius]
-        if not alive:
-            return 0
+            count[j], carry = count[j] ^ carry, count[j] & carry
+        if carry:
+            alive &= ~carry
+            if not alive:
+                return 0
     return alive
 
 
@@ -250,7 +259,151 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id (of rows that repeat it, one)."""
-    keep = near_groups(docs, id_col, text_col, shingle, radius).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+#: Similar texts: fingerprints of WIDE words of 64 bits over sets of word pairs, cut in bands of BAND_BITS; pairs within FAR bits are checked exactly.
+WIDE, PAIR, BAND_BITS, FAR, LONG_RUN = 12, 2, 22, 140, 48
+BANDS = 64 * WIDE // BAND_BITS
+
+
+def wide_simhash(words: list[bytes]) -> bytes:
+    """WIDE SimHashes of the set of word pairs, from one hash of each pair by WIDE different mixings."""
+    joined = [b" ".join(words[i : i + PAIR]) for i in range(max(1, len(words) - PAIR + 1))]
+    base = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, len(joined)))
+    out = []
+    for j in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(base), 65536):
+            z = base[at : at + 65536] + np.uint64((0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64))
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            ones += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(base), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, same, bits, keys): a hash of the word sequence, the wide fingerprint, and the key of each of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t.as_py() or "").encode().lower().split() for t in b.column(1)]
+            bits = [wide_simhash(w) for w in texts]
+            flat = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
+            keys = flat.reshape(-1, BANDS, BAND_BITS).astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
+            same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(bits, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "same", "bits", "keys"])
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "id bigint, same bigint, bits binary, keys array<bigint>")
+
+
+def _wide_planes(bits: np.ndarray) -> list[int]:
+    flat = np.unpackbits(bits, axis=1, bitorder="little")
+    return [int.from_bytes(np.packbits(flat[:, b], bitorder="little").tobytes(), "little") for b in range(flat.shape[1])]
+
+
+def _wide_links(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Candidate pairs of rows sorted by key: all close pairs of a short run; in a long one each row with its run's first row close to it."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    by_row, out = np.repeat(sizes, sizes), []
+    short = np.flatnonzero((by_row > 1) & (by_row <= LONG_RUN))
+    if len(short):
+        k, planes = keys[short], _wide_planes(bits[short])
+        for shift in range(1, min(LONG_RUN, len(k))):
+            same = k[:-shift] == k[shift:]
+            if not same.any():
+                break
+            alive = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
+            if found := close_at(planes, shift, alive, far):
+                at = _bits(found)
+                out += zip(ids[short[at]].tolist(), ids[short[at + shift]].tolist(), strict=True)
+    for at, n in zip(starts[sizes > LONG_RUN].tolist(), sizes[sizes > LONG_RUN].tolist(), strict=True):
+        planes, left = _wide_planes(bits[at : at + n]), (1 << n) - 1
+        while left:
+            lead = (left & -left).bit_length() - 1
+            left &= left - 1
+            every = (1 << n) - 1
+            got = _within((p ^ every if p >> lead & 1 else p for p in planes), left, far)
+            left &= ~got
+            out += [(int(ids[at + lead]), int(ids[at + i])) for i in _bits(got)] if got else []
+    return out
+
+
+def _wide_compare(far: int):
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal held
+            k, i, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(k) if last else int(np.flatnonzero(k == k[-1])[0])
+            held = [(k[cut:], i[cut:], b[cut:])]
+            ends = np.array(sorted({(min(p), max(p)) for p in (_wide_links(k[:cut], i[:cut], b[:cut], far) if cut > 1 else [])}), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), raw))
+                if sum(len(h[0]) for h in held) >= BLOCK_ROWS // 4:
+                    yield flush(False)
+        if held:
+            yield flush(True)
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                w = (t.as_py() or "").encode().lower().split()
+                sets.append(sorted({xxhash.xxh32_intdigest(b" ".join(w[i : i + shingle])) - (1 << 31) for i in range(max(1, len(w) - shingle + 1))}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["id", "set"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of each distinct id: texts linked where the Jaccard similarity of their word shingles is ``similarity`` or more.
+
+    64 bits within a few differences find copies with hardly a change, not all
+    texts that share four fifths of their shingles. So candidates come from
+    wide fingerprints over word pairs (an edit touches fewer pairs than longer
+    shingles): rows that agree on one of BANDS bands meet, bit-sliced counters
+    keep the pairs within FAR bits, and each is then decided exactly on its
+    shingle sets. Texts of equal words are one node from the start. Null ids
+    are left out.
+    """
+    parts = max(2 * n_shuffle(docs.sparkSession), 8)
+    fps = materialize(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    nodes = materialize(fps.groupBy("same").agg(F.min("id").alias("low"), F.min_by(F.struct("bits", "keys"), "id").alias("x")).select("low", "x.bits", "x.keys"))
+    keyed = nodes.select("low", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    ready = keyed.join(shared, "key", "left_semi").join(nodes.select("low", "bits"), "low").select("key", "low", "bits")
+    pairs = ready.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_wide_compare(FAR), "src bigint, dst bigint")
+    pairs = materialize(pairs.distinct())
+    ends = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "id bigint, set array<int>"))
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("set").alias("b")), "dst")
+    n = F.size(F.array_intersect("a", "b"))
+    links = both.where(n >= similarity * (F.size("a") + F.size("b") - n)).select("src", "dst")
+    comps = connected_components(materialize(links)).withColumnRenamed("id", "low")
+    roots = nodes.select("low").join(comps, "low", "left").select("low", F.coalesce("component", "low").alias("component"))
+    lows = fps.groupBy("same").agg(F.min("id").alias("low"))
+    return fps.select("id", "same").join(lows, "same").join(roots, "low").groupBy("id").agg(F.min("component").alias("component"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the one with the smallest id (of rows that repeat it, one).
+
+    Rows without an id stay.
+    """
+    keep = similar_groups(docs, id_col, text_col, shingle, similarity).where("id = component").select(F.col("id").alias(id_col))
+    known = docs.where(F.col(id_col).isNotNull())
+    return known.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
