@@ -34,8 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    known = labels.where(langid.fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    field = toxicity.fit(docs.where(langid.fold("doc_id", 4) != 2).join(known, "doc_id"))
+    field = toxicity.fit(docs, labels.where(langid.fold("doc_id", 4) != 2))
     out = toxicity.score(docs, field)
     return out.select(
         F.col("id").alias("doc_id"),

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rockframe.runtime import materialize
+
 FIT_ROWS, WORDS, MIN_DOCS, ODDS = 2000, 50_000, 6, 2.5
 #: Texts beyond this are left out of the fit sample (never of scoring).
 FIT_CHARS = 50_000
@@ -180,19 +182,32 @@ def _apart(texts: list[list[str]]) -> list[int]:
     return out
 
 
-def _sample(labelled: DataFrame, fit_rows: int) -> list:
-    n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list:
+    """Rows (t, y, c) of about ``fit_rows`` texts of each class; c is how many labelled texts one stands for.
+
+    Hashes of texts meet the labels first, so only chosen texts leave the scan:
+    their ids are bounded by the sample's size, so they are broadcast.
+    """
+    hashed = docs.where("t IS NOT NULL").select("id", F.xxhash64(F.lit(3), "t").alias("h"), F.char_length("t").alias("n"))
+    pool = materialize(hashed.join(labels, "id"))
+    n = {r["y"]: r["n"] for r in pool.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     share = {y: min(1.0, fit_rows / max(1, n.get(y, 0))) for y in (0, 1)}
     limit = F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 20)) + 1)).otherwise(F.lit(int(share[0] * (1 << 20)) + 1))
-    rows = labelled.where((F.pmod(F.xxhash64(F.lit(3), "t"), F.lit(1 << 20)) < limit) & (F.char_length("t") <= FIT_CHARS))
     weight = F.when(F.col("y") == 1, F.lit(1 / share[1])).otherwise(F.lit(1 / share[0]))
-    return rows.dropDuplicates(["t"]).withColumn("c", weight).select("t", "y", "c").orderBy(F.xxhash64("t")).limit(3 * fit_rows).collect()
+    chosen = pool.where((F.pmod("h", F.lit(1 << 20)) < limit) & (F.col("n") <= FIT_CHARS))
+    one = chosen.groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y")).orderBy("h").limit(3 * fit_rows).withColumn("c", weight)
+    rows = docs.join(F.broadcast(one), "id").where(F.xxhash64(F.lit(3), "t") == F.col("h"))
+    return sorted(rows.select("h", "t", "y", "c").dropDuplicates(["h"]).collect(), key=lambda r: r["h"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Field:
-    """A field fitted on a bounded sample of labelled texts; without any toxic text, one that finds nothing."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    got = _sample(rows.select(F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y")), fit_rows)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Field:
+    """A field fitted on a bounded sample of labelled texts; without any toxic text, one that finds nothing.
+
+    Of labels that repeat an id the highest counts; null labels don't.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    got = _sample(src, known, fit_rows)
     texts = [tokens_of(r["t"]) for r in got]
     apart = _apart(texts)
     got, texts = [got[i] for i in apart], [texts[i] for i in apart]
