@@ -152,9 +152,9 @@ def q45_fill_linear(read):
     return J.fill_linear(gaps, "value", "depth", ["user_id"]).select("user_id", "event_id", *r4("value"))
 
 
-@query("""WITH c AS (SELECT p_brand AS g, p_size / 100.0 AS x, avg(p_retailprice) AS y FROM part WHERE p_size BETWEEN 5 AND 40 AND (p_partkey % 3 <> 0) GROUP BY 1, 2), e AS (SELECT g, min(x) AS a, max(x) AS b FROM c GROUP BY 1), k AS (SELECT g, a, b, i, i * 0.0025 AS gx FROM e CROSS JOIN (SELECT CAST(unnest(range(201)) AS INTEGER) AS i)),
+@query("""WITH c AS (SELECT p_brand AS g, p_size / 100.0 AS x, avg(p_retailprice) AS y FROM part WHERE p_size BETWEEN 5 AND 40 AND (p_partkey % 3 <> 0) GROUP BY 1, 2), e AS (SELECT g, min(x) AS a, max(x) AS b FROM c GROUP BY 1), k AS (SELECT g, a, b, i, i * 2.5e-3 AS gx FROM e CROSS JOIN (SELECT CAST(unnest(range(201)) AS INTEGER) AS i)),
 n AS (SELECT k.*, l.x AS x0, l.y AS y0, r.x AS x1, r.y AS y1 FROM k ASOF LEFT JOIN c l ON k.g = l.g AND k.gx >= l.x ASOF LEFT JOIN c r ON k.g = r.g AND k.gx <= r.x)
-SELECT g AS p_brand, i, CASE WHEN gx > a - 0.0025 AND gx < b + 0.0025 THEN round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x0 = x1 THEN y0 ELSE y0 + (gx - x0) / (x1 - x0) * (y1 - y0) END + 1e-7, 2) END AS y FROM n""")
+SELECT g AS p_brand, i, CASE WHEN gx > a - 2.5e-3 AND gx < b + 2.5e-3 THEN round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x0 = x1 THEN y0 ELSE y0 + (gx - x0) / (x1 - x0) * (y1 - y0) END + 1e-7, 2) END AS y FROM n""")
 def q46_resample(read):
     c = read("part").where("p_size BETWEEN 5 AND 40 AND p_partkey % 3 <> 0").select("p_brand", (F.col("p_size") / 100.0).alias("x"), F.col("p_retailprice").alias("y"))
     return J.resample(c, "x", "y", 201, 0.5, ["p_brand"]).select("p_brand", "i", F.round(F.col("y") + 1e-7, 2).alias("y"))

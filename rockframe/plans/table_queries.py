@@ -91,17 +91,22 @@ def q10_weighted_mean_in_depth(read):
 
 _HIST = """WITH e AS (SELECT min(v) AS lo, (max(v) - min(v)) / {n} AS w FROM ({rows})), b AS (SELECT CAST(unnest(range({n})) AS INTEGER) AS bin),
 c AS (SELECT CAST(least(floor((v - lo) / w), {n} - 1) AS INTEGER) AS bin, sum(wt) AS y FROM ({rows}), e GROUP BY 1)
-SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, round(coalesce(y, 0), 4) AS y FROM b CROSS JOIN e LEFT JOIN c USING (bin)"""
+SELECT bin, round(lo + bin * w + 1e-7, 4) AS low, round(lo + (bin + 1) * w + 1e-7, 4) AS high, round(coalesce(y, 0), 4) AS y FROM b CROSS JOIN e LEFT JOIN c USING (bin)"""
+
+
+def _edges():
+    """Edges rounded a little above, away from ties."""
+    return [F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("low", "high")]
 
 
 @query(_HIST.format(n=20, rows="SELECT l_extendedprice AS v, 1.0 AS wt FROM lineitem"))
 def q11_histogram(read):
-    return A.histogram(read("lineitem"), "l_extendedprice", 20).select("bin", *r4("low", "high", "y"))
+    return A.histogram(read("lineitem"), "l_extendedprice", 20).select("bin", *_edges(), *r4("y"))
 
 
 @query(_HIST.format(n=16, rows="SELECT o_totalprice AS v, (o_custkey % 7) / 8.0 AS wt FROM orders"))
 def q12_weighted_histogram(read):
-    return A.histogram(read("orders").withColumn("w", (F.col("o_custkey") % 7) / 8), "o_totalprice", 16, weight="w").select("bin", *r4("low", "high", "y"))
+    return A.histogram(read("orders").withColumn("w", (F.col("o_custkey") % 7) / 8), "o_totalprice", 16, weight="w").select("bin", *_edges(), *r4("y"))
 
 
 _DEPTH = f"""WITH r AS (SELECT {MONTH('o_orderdate')} AS d, o_totalprice AS v FROM orders WHERE o_totalprice > 0), e AS (SELECT min(v) AS lo, ln(max(v) / min(v)) / 12 AS ratio FROM r),
