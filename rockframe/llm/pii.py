@@ -54,7 +54,7 @@ def _luhn(digits: str) -> str:
 
 
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
-_PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Which matches of the fixed forms hold.
 HOLDS = {
     "email": "true",

@@ -200,30 +200,16 @@ def band_links(fps: DataFrame, radius: int = RADIUS, band_rows: int = BAND_ROWS)
     """
     spark = fps.sparkSession
     parts = max(2 * n_shuffle(spark), 8)
-    level = [(tuple(band),) for band in _cut(list(range(64)), radius + 1)]  # paths of bands
-    waiting, done = fps.select("fp"), None
-    owner: DataFrame | None = None
+    level = [tuple(band) for band in _cut(list(range(64)), radius + 1)]  # the bits each key shares
+    waiting, done = fps.select("fp", F.lit(-1).alias("path")), None
+    plan = [(-1, i, _mask(list(bits))) for i, bits in enumerate(level)]  # from path, to path, mask: (radius + 1)^round rows
     while True:
-        paths = {i: sum(map(list, p), []) for i, p in enumerate(level)}
-
-        def key(i: int, bits: list[int]) -> Column:
-            return F.struct(F.lit(i).alias("path"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(bits)))).alias("key"))
-
-        if owner is None:
-            keyed = waiting.select("fp", F.explode(F.array(*[key(i, b) for i, b in paths.items()])).alias("k")).select("fp", "k.path", "k.key")
-        else:
-            kids: dict[int, list[int]] = {}
-            for i, p in enumerate(level):
-                kids.setdefault(parents.index(p[:-1]), []).append(i)
-            choice = F.lit(None)
-            for up, own in kids.items():
-                choice = F.when(F.col("path") == up, F.array(*[key(i, paths[i]) for i in own])).otherwise(choice)
-            keyed = owner.select("fp", F.explode(choice).alias("k")).select("fp", "k.path", "k.key")
+        ways = F.broadcast(spark.createDataFrame(plan, "path int, to int, mask bigint"))
+        keyed = waiting.join(ways, "path").select("fp", F.col("to").alias("path"), F.xxhash64("to", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
         keyed = materialize(keyed)
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = materialize(sizes)
-        more = [b for b in _cut([b for b in range(64) if b not in paths[0]], radius + 1)]
-        last = min(64 - len(b) for b in paths.values()) <= radius + 1 or not more
+        last = max(64 - len(bits) for bits in level) <= radius + 1
         fit = sizes if last else sizes.where(F.col("n") <= band_rows)
         ready = keyed.join(fit.select("key"), "key", "left_semi").select("key", "fp")
         links = ready.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(radius), "src bigint, dst bigint")
@@ -232,9 +218,13 @@ def band_links(fps: DataFrame, radius: int = RADIUS, band_rows: int = BAND_ROWS)
         large = sizes.where(F.col("n") > band_rows)
         if last or not large.limit(1).count():
             return done.distinct()
-        owner = keyed.join(large.select("key"), "key", "left_semi").select("fp", "path")
-        parents = level
-        level = [(*p, tuple(band)) for p in level for band in _cut([b for b in range(64) if b not in sum(map(list, p), [])], radius + 1)]
+        waiting = keyed.join(large.select("key"), "key", "left_semi").select("fp", "path")
+        plan, longer = [], []
+        for i, bits in enumerate(level):
+            for band in _cut([b for b in range(64) if b not in bits], radius + 1):
+                plan.append((i, len(longer), _mask([*bits, *band])))
+                longer.append((*bits, *band))
+        level = longer
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
