@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -91,20 +92,25 @@ class Scorer:
     """Scores texts under a model; one per worker task."""
 
     def __init__(self, model: dict):
-        self.langs, self.units = model["langs"], model["units"]
+        self.langs = model["langs"]
+        self.rows: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+        for i, (n, unit) in enumerate(model["units"]):
+            self.rows[n][unit] = i
+        self.freq = np.array([v - np.mean(v) for v in model["units"].values()], np.float32).reshape(len(model["units"]), -1)
         self.row: dict[str, int] = {}
         self.table = np.zeros((CACHE_WORDS, max(1, len(self.langs))), np.float32)
 
     def word(self, w: str) -> np.ndarray:
         """Log frequencies of one word, centred over the languages."""
-        v = self.units.get((0, w))
-        if v is None:
-            for n in ORDERS:
-                hits = [u for g in grams_of(w[:64], n) if (u := self.units.get((n, g))) is not None] if len(w) >= n - 1 else []
-                if hits:
-                    v = np.mean(hits, axis=0)
-                    break
-        return v - v.mean() if v is not None else np.zeros(len(self.langs), np.float32)
+        i = self.rows[0].get(w)
+        if i is not None:
+            return self.freq[i]
+        for n in ORDERS:
+            find = self.rows[n].get
+            hits = [i for g in grams_of(w[:64], n) if (i := find(g)) is not None]
+            if hits:
+                return self.freq[hits].mean(0)
+        return np.zeros(max(1, len(self.langs)), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         own = Counter(words_of(text))
@@ -132,15 +138,26 @@ class Scorer:
         return self.langs[best], float(z[best] / z.sum())
 
 
+_scorers: dict[object, Scorer] = {}
+
+
+def _scorer(shared) -> Scorer:
+    """One scorer, and one memory of words, per model and worker process."""
+    if shared.value["key"] not in _scorers:
+        _scorers.clear()
+        _scorers[shared.value["key"]] = Scorer(shared.value)
+    return _scorers[shared.value["key"]]
+
+
 def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (as k0, k1 ...), lang_pred and score; ``und`` and 0 for a null text or one without a letter."""
     keep = keep or []
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
     src = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = "".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
+        score = _scorer(shared)
         for b in batches:
             got = [score(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
