@@ -98,3 +98,25 @@ def boundary_gradient(low: float, high: float) -> Kernel:
         return ((g >= low) & (g <= high)).astype(float)
 
     return run
+
+
+def opening(r: int) -> Kernel:
+    """1 where a disc of radius r inside the non-zero cells covers the cell. Needs a halo of 2 r + 1."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        inside = distance_to_background(r + 1)(np.nan_to_num(a, nan=0.0))
+        centre = np.where(inside > r, 0.0, 1.0)
+        return (distance_to_background(r + 1)(centre) <= r).astype(float)
+
+    return run
+
+
+def size_distribution(grid: DataFrame, value: str, radii: list[int], block: int = 256) -> DataFrame:
+    """(radius, covered, share): non-zero cells that discs of each radius cover, and their share of all: the cumulative size of pores."""
+    out = None
+    solid = grid.withColumn(value, (F.col(value) != 0).cast("double"))
+    for r in radii:
+        one = filter_blocks(solid, value, opening(r), 2 * r + 1, block, fill=0.0).agg(F.lit(r).alias("radius"), F.coalesce(F.sum(value), F.lit(0.0)).cast("bigint").alias("covered"))
+        out = one if out is None else out.unionByName(one)
+    total = solid.agg(F.sum(value).alias("_t"))
+    return out.crossJoin(F.broadcast(total)).select("radius", "covered", (F.col("covered") / F.nullif(F.col("_t"), F.lit(0.0))).alias("share"))
