@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from rockframe.runtime import n_shuffle
 
 PIECE, GRAM, WINDOW = 4, 4, 8
+#: Most buckets of neighbouring ids (their bounds are part of the plan); larger buckets sort on disk.
+MAX_BUCKETS = 8192
 #: A chosen gram is one long: 32 bits of hash above 31 bits of (LAST - position), so that the least is the rightmost of equals.
 LAST = (1 << 31) - 1
 
@@ -78,7 +80,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, buckets: int | None =
     row finds the next one inside its own bucket, with one shuffle of the text
     and no ordering of the whole table in one task. Null ids come last.
     """
-    buckets = buckets or 4 * n_shuffle(docs.sparkSession)
+    buckets = buckets or min(4 * n_shuffle(docs.sparkSession), MAX_BUCKETS)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets > 1 else F.array(F.lit(0.5))
     low, cuts = src.agg(F.min("id"), F.percentile_approx("id", at, F.lit(max(10000, 10 * buckets)))).first()
