@@ -80,3 +80,46 @@ def curve_points(curves: DataFrame, by: str, cycle: str, order: str, sw: str, kr
 def mean_curve(curves: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Mean over simulations at each place, leaving nulls and NaN out."""
     return curves.groupBy(*by).agg(*[F.avg(F.when(~F.isnan(F.col(v).cast("double")), F.col(v))).alias(v) for v in values])
+
+
+def wettability(curves: DataFrame, by: str, cycle: str, order: str, sw: str, pc: str) -> DataFrame:
+    """Per simulation: Iw, Io, amott and usbm from the capillary pressure of cycles 2 (imbibition) and 3 (drainage).
+
+    spw is where the pressure of cycle 2 falls through 0, spo where that of
+    cycle 3 rises through it (linear between rows). Iw = (spw - scw) / (1 - sor - scw)
+    and Io = (spo - sor) / (1 - sor - scw), with oil saturations for spo and
+    sor; amott = Iw - Io; usbm = (a2 - a1) / (a1 + a2) of the areas beyond
+    either crossing. What a missing cycle or crossing leaves open is 0.
+    """
+    w = Window.partitionBy(by, cycle).orderBy(order)
+    s, p, s0, p0 = F.col(sw), F.col(pc), F.col("_s0"), F.col("_p0")
+    rows = curves.where(F.col(cycle).isin(2, 3)).withColumn("_s0", F.lag(sw).over(w)).withColumn("_p0", F.lag(pc).over(w))
+    through = F.when(F.col(cycle) == 2, (p0 > 0) & (p <= 0)).otherwise((p0 < 0) & (p >= 0))
+    at = F.when(through, F.struct(F.col(order).alias("i"), (s0 + p0 / (p0 - p) * (s - s0)).alias("s")))
+    rows = rows.withColumn("_x", F.min(at).over(Window.partitionBy(by, cycle)))
+    step = F.when(F.col(order) == F.col("_x")["i"], F.abs(p) * F.abs(s - F.col("_x")["s"]) / 2).when(F.col(order) > F.col("_x")["i"], (F.abs(p) + F.abs(p0)) / 2 * F.abs(s - s0))
+    one = lambda k, c: F.max(F.when(F.col(cycle) == k, c))
+    area = lambda k: F.coalesce(F.sum(F.when(F.col(cycle) == k, step)), F.lit(0.0))
+    got = rows.groupBy(by).agg(
+        F.min_by(F.when(F.col(cycle) == 2, s), F.when(F.col(cycle) == 2, F.col(order))).alias("scw"),
+        (1 - F.max_by(F.when(F.col(cycle) == 2, s), F.when(F.col(cycle) == 2, F.col(order)))).alias("sor"),
+        one(2, F.col("_x")["s"]).alias("spw"),
+        (1 - one(3, F.col("_x")["s"])).alias("spo"),
+        area(2).alias("a1"),
+        area(3).alias("a2"),
+    )
+    movable = F.nullif(1 - F.col("sor") - F.col("scw"), F.lit(0.0))
+    iw, io = F.coalesce((F.col("spw") - F.col("scw")) / movable, F.lit(0.0)), F.coalesce((F.col("spo") - F.col("sor")) / movable, F.lit(0.0))
+    usbm = F.coalesce((F.col("a2") - F.col("a1")) / F.nullif(F.col("a1") + F.col("a2"), F.lit(0.0)), F.lit(0.0))
+    return got.select(by, iw.alias("Iw"), io.alias("Io"), (iw - io).alias("amott"), usbm.alias("usbm"))
+
+
+def sub_scale_conductivity(diameter, porosity, capillary_radius, shape):
+    """Conductivity of an unresolved pore: that of one capillary times how many fill the pore space of its section (column expressions)."""
+    count = (diameter * diameter / 4 / (4 * shape)) * porosity / (capillary_radius * capillary_radius / (4 * shape))
+    return conductivity(capillary_radius, shape) * count
+
+
+def correct_saturation(curves: DataFrame, sw: str, volumes: DataFrame, by: str, volume: str) -> DataFrame:
+    """Curves with Sw (1 - v) + v, v being each simulation's unswept share."""
+    return curves.join(volumes.select(by, volume), by).withColumn(sw, F.col(sw) * (1 - F.col(volume)) + F.col(volume)).drop(volume)

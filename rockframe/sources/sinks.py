@@ -25,3 +25,9 @@ def write_table(df: DataFrame, path: str, form: str = "tsv") -> None:
         df.write.mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").csv(path, sep="\t" if form == "tsv" else ",", header=True, nullValue="", emptyValue="")
+
+
+def histogram_curves(histogram: DataFrame, depth: str = "depth") -> DataFrame:
+    """A histogram in depth (depth, bin, y) as one array per depth, for ``las.write_las``; depth counts metres."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bin", "y"))), lambda p: p["y"])
+    return histogram.groupBy((F.col(depth) * 1000.0).alias("depth_mm")).agg(ordered.alias("HIST"))

@@ -167,3 +167,13 @@ def test_islands(spark):
 
 def test_low_pass_keeps_constants():
     assert sum(windows.low_pass_taps(0.1, 21, 1.0)) == pytest.approx(1) and sum(windows.gaussian_taps(2, 4)) == pytest.approx(1)
+
+
+def test_wettability_by_hand(spark):
+    two, three = [(0.2, 4.0), (0.4, 2.0), (0.6, -2.0), (0.8, -4.0)], [(0.8, -4.0), (0.6, -1.0), (0.4, 1.0), (0.2, 5.0)]
+    rows = [("s", c, i, s, p) for c, r in ((2, two), (3, three)) for i, (s, p) in enumerate(r)] + [("t", 2, 0, 0.3, 1.0), ("t", 2, 1, 0.7, 0.5)]
+    got = {r["sim"]: r for r in network.wettability(spark.createDataFrame(rows, "sim string, cycle int, i int, sw double, pc double"), "sim", "cycle", "i", "sw", "pc").collect()}
+    assert got["s"]["Iw"] == pytest.approx((0.5 - 0.2) / 0.6) and got["s"]["Io"] == pytest.approx((0.5 - 0.2) / 0.6) and got["s"]["amott"] == pytest.approx(0)
+    a1, a2 = 0.1 * 2 / 2 + 0.2 * 3, 0.1 * 1 / 2 + 0.2 * 3
+    assert got["s"]["usbm"] == pytest.approx((a2 - a1) / (a1 + a2))
+    assert [got["t"][c] for c in ("Iw", "Io", "amott", "usbm")] == [0, 0, 0, 0]

@@ -100,3 +100,9 @@ def test_streams(spark, tmp_path, sf_dir):
     assert got.agg(F.sum("n")).first()[0] == src.count()
     got = drain(windows.job_progress(stream(), "user_id", "ts", "value"), "j1", "update")
     assert got.groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_histogram_as_curves(spark, tmp_path):
+    h = spark.createDataFrame([(1.0, 1, 0.75), (1.0, 0, 0.25), (2.0, 0, 1.0), (2.0, 1, 0.0)], "depth double, bin int, y double")
+    las.write_las(sinks.histogram_curves(h), str(tmp_path / "h.las"), "W")
+    assert [r["HIST"] for r in las.read_las(spark, str(tmp_path / "h.las")).orderBy("depth_mm").collect()] == [[0.25, 0.75], [1.0, 0.0]]
