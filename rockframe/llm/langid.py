@@ -65,7 +65,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     total = rows.count()
     if not total:
-        return {"langs": [], "units": {}, "floor": {}}
+        return {"langs": [], "units": {}}
     share = min(1.0, fit_rows / total)
     sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "t"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     counts = sample.mapInArrow(_counts, "lang string, n int, unit string, c bigint").groupBy("lang", "n", "unit").agg(F.sum("c").alias("c"))
@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     kept = top.select("lang", "n", "unit", "c", "all").toPandas()
     langs = sorted(kept["lang"].unique())
     if not langs:
-        return {"langs": [], "units": {}, "floor": {}}
+        return {"langs": [], "units": {}}
     at = {x: i for i, x in enumerate(langs)}
     mass = np.ones((max(ORDERS) + 1, len(langs)))
     for lang, n, _, _, total in kept.drop_duplicates(["lang", "n"]).itertuples(index=False):
@@ -96,7 +96,7 @@ class Scorer:
         self.rows: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
         for i, (n, unit) in enumerate(model["units"]):
             self.rows[n][unit] = i
-        self.freq = np.array([v - np.mean(v) for v in model["units"].values()], np.float32).reshape(len(model["units"]), -1)
+        self.freq = np.array([v - np.mean(v) for v in model["units"].values()], np.float32).reshape(len(model["units"]), max(1, len(self.langs)))
         self.row: dict[str, int] = {}
         self.table = np.zeros((CACHE_WORDS, max(1, len(self.langs))), np.float32)
 

@@ -10,7 +10,7 @@ estimate. Documents whose Mahalanobis distance passes the limit are rejected.
 A step sorts nothing and gathers no group: distances fall in bins of a quarter
 octave, moments are summed per group and bin before any shuffle (one small row
 per group, bin and task), and the core is the bins up to the one in which the
-share is reached. The estimate has at most ``BINS`` rows to read per group.
+share is reached. The estimate reads one row per bin of a group.
 """
 
 from __future__ import annotations
