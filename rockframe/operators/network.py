@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rockframe.functions.classify import conductivity, series
 from rockframe.operators.components import connected_components
+from rockframe.operators.grid import contact_areas
 from rockframe.operators.joins import with_ends
+from rockframe.operators.porosity import face_flags
 
 
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -123,3 +127,31 @@ def sub_scale_conductivity(diameter, porosity, capillary_radius, shape):
 def correct_saturation(curves: DataFrame, sw: str, volumes: DataFrame, by: str, volume: str) -> DataFrame:
     """Curves with Sw (1 - v) + v, v being each simulation's unswept share."""
     return curves.join(volumes.select(by, volume), by).withColumn(sw, F.col(sw) * (1 - F.col(volume)) + F.col(volume)).drop(volume)
+
+
+def extract_network(cells: DataFrame, spacing: tuple[float, float, float], label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(pores, throats) of a label grid (z, y, x, label): each label a pore, each pair of touching labels a throat.
+
+    pores: pore, volume, equivalent diameter, centre, and whether it touches
+    each face; throats: a, b, area, diameter of the circle of that area, and
+    the distance of the centres. Labels meet through one window per axis.
+    """
+    sz, sy, sx = spacing
+    scaled = cells.withColumns({f"_{a}": F.col(a) * s for a, s in zip("zyx", spacing, strict=True)})
+    volume = F.count(F.lit(1)) * F.lit(sz * sy * sx)
+    pores = scaled.where(F.col(label) != 0).groupBy(F.col(label).alias("pore")).agg(volume.alias("volume"), *[F.avg(f"_{a}").alias(a) for a in "zyx"])
+    pores = pores.withColumn("diameter", F.pow(6 * F.col("volume") / math.pi, F.lit(1 / 3)))
+    pores = pores.join(face_flags(cells, ["z", "y", "x"], label).withColumnRenamed(label, "pore"), "pore")
+    throats = with_ends(contact_areas(cells, ["z", "y", "x"], [sy * sx, sz * sx, sz * sy], label), pores, "pore", ("a", "b"), ["z", "y", "x"])
+    far = F.sqrt(sum((F.col(f"{c}_0") - F.col(f"{c}_1")) ** 2 for c in "zyx"))
+    return pores, throats.select("a", "b", "area", F.sqrt(4 * F.col("area") / math.pi).alias("diameter"), far.alias("length"))
+
+
+def connected_network(pores: DataFrame, throats: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]:
+    """What is connected from one face to the other: pores of components with a pore on both, and the throats between them."""
+    placed = pores.join(clusters(throats, "a", "b").withColumnRenamed("id", "pore"), "pore")
+    both = placed.where(F.col(low)).select("component").intersect(placed.where(F.col(high)).select("component"))
+    kept = placed.join(both, "component", "left_semi").drop("component")
+    ids = kept.select("pore")
+    inside = throats.join(ids.withColumnRenamed("pore", "a"), "a", "left_semi").join(ids.withColumnRenamed("pore", "b"), "b", "left_semi")
+    return kept, inside

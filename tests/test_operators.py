@@ -177,3 +177,15 @@ def test_wettability_by_hand(spark):
     a1, a2 = 0.1 * 2 / 2 + 0.2 * 3, 0.1 * 1 / 2 + 0.2 * 3
     assert got["s"]["usbm"] == pytest.approx((a2 - a1) / (a1 + a2))
     assert [got["t"][c] for c in ("Iw", "Io", "amott", "usbm")] == [0, 0, 0, 0]
+
+
+def test_network_of_a_grid(spark):
+    """Two labels side by side along x, a third apart: one throat, and only the pair spans x."""
+    cells = [(z, y, x, 1 if x < 3 else 2) for z in range(2) for y in range(2) for x in range(6)] + [(z, 5, 0, 3) for z in range(2)] + [(0, 3, 3, 0)]
+    pores, throats = network.extract_network(spark.createDataFrame(cells, "z int, y int, x int, label int"), (1.0, 2.0, 3.0))
+    t = throats.collect()
+    assert [(r["a"], r["b"], r["area"], r["length"]) for r in t] == [(1, 2, 8.0, 9.0)]
+    p = {r["pore"]: r for r in pores.collect()}
+    assert p[1]["volume"] == 72 and p[1]["x_min"] and not p[1]["x_max"] and p[2]["x_max"] and p[3]["y_max"]
+    kept, inside = network.connected_network(pores, throats, "x_min", "x_max")
+    assert {r["pore"] for r in kept.collect()} == {1, 2} and inside.count() == 1
