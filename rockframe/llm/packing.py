@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,21 +57,28 @@ def load_encoder(path: str):
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     # A single space between two characters that aren't space starts a token, whatever stands around it.
-    units = regex.compile(r"(?<=\S) (?=\S)").split
+    units, doubled = regex.compile(r"(?<=\S) (?=\S)").split, re.compile(r"\s\s").search
     known: dict[str, bytes] = {}
 
+    def fresh(unit: str) -> bytes:
+        ids = array("I", core.encode_ordinary(unit))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        raw = ids.tobytes()
+        if len(known) >= CACHE_UNITS:
+            known.clear()
+        if len(unit) <= 64:
+            known[unit] = raw
+        return raw
+
     def encode(text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, first = [], True
-        for unit in units(text):
-            unit, first = (unit if first else " " + unit), False
-            if (ids := known.get(unit)) is None:
-                ids = np.array(core.encode_ordinary(unit), "<u4").tobytes()
-                if len(known) >= CACHE_UNITS:
-                    known.clear()
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out.append(ids)
+        single = doubled(text) is None and text[:1] != " " and text[-1:] != " "
+        parts = text.split(" ") if single else units(text)
+        parts[1:] = [" " + p for p in parts[1:]]
+        out = list(map(known.get, parts))
+        if None in out:
+            out = [fresh(p) if ids is None else ids for p, ids in zip(parts, out, strict=True)]
         return b"".join(out)
 
     return encode
