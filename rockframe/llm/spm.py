@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,19 +130,21 @@ class PieceCodec:
 
     def encode(self, text: str) -> list[int]:
         """Ids without begin or end; an empty text has none."""
-        out: list[int] = []
         if not text:
-            return out
-        known = self.known
-        for part in self.parts(MARK + text.replace(" ", MARK)):
-            if (ids := known.get(part)) is None:
-                ids = self._part(part)
-                if len(part) <= 64:
-                    if len(known) >= CACHE_PARTS:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return out
+            return []
+        parts = self.parts(MARK + text.replace(" ", MARK))
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self._remembered(p) if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+        return list(chain.from_iterable(found))
+
+    def _remembered(self, part: str) -> list[int]:
+        ids = self._part(part)
+        if len(part) <= 64:
+            if len(self.known) >= CACHE_PARTS:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the first one goes, runs of byte tokens are read as UTF-8."""
