@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rockframe.runtime import bounded_batches
+
 FIT_ROWS, WORDS, GRAMS, ORDERS = 3000, 20000, 6000, (5, 4, 3, 2, 1)
 #: A word counts as known if so many fitted texts' worth of it was seen.
 MIN_COUNT, CACHE_WORDS, UND = 3, 300_000, "und"
@@ -151,6 +153,7 @@ def _scorer(shared) -> Scorer:
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (as k0, k1 ...), lang_pred and score; ``und`` and 0 for a null text or one without a letter."""
+    bounded_batches(docs.sparkSession)
     keep = keep or []
     shared = docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
     src = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
@@ -176,6 +179,16 @@ def filter_documents(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     The model is fitted on the documents' own languages, under the same folds as the query.
     """
     model = fit(docs.where(fold("doc_id", 3) != 1))
-    out = predict(docs, model, keep=docs.columns).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    names = [F.col("lang_pred") if c == "lang" else F.col(f"k{i}") for i, c in enumerate(docs.columns)]
-    return out.select(*[x.alias(c) for x, c in zip(names, docs.columns, strict=True)])
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
+
+    @F.arrow_udf("struct<lang_pred:string, score:double>")
+    def found(texts: pa.Array) -> pa.Array:
+        score = _scorer(shared)
+        got = [score(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
+
+    at = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    src = docs.select(*[F.col(c).alias(k) for c, k in at.items()])
+    out = src.withColumn("_l", found.asNondeterministic()(F.col(at["text"]))).where((F.col("_l.lang_pred") != UND) & (F.col("_l.score") >= min_score))
+    return out.select(*[(F.col("_l.lang_pred") if c == "lang" else F.col(k)).alias(c) for c, k in at.items()])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rockframe.runtime import materialize
+from rockframe.runtime import bounded_batches, materialize
 
 CAPACITY, END_ID, BUCKET_ROWS = 1024, 0, 4096
 #: Encoded units kept per worker; the memory of the cache is bounded by it.
@@ -115,6 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 rows += [(i, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, name)
 
 

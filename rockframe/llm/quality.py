@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rockframe.runtime import materialize
+from rockframe.runtime import bounded_batches, materialize
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_digits", "n_letters"]
@@ -71,6 +71,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the counts of each text, renamed so that nothing clashes: k0, k1 ... and the counts."""
     keep = keep or []
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = "".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
 
@@ -162,9 +163,13 @@ def _first(quartiles: list[list[float]]) -> dict:
 MODEL = "g bigint, mu array<double>, prec array<double>"
 
 
+def _fine(lang: str, source: str) -> Column:
+    return F.xxhash64(F.lit(1), F.col(lang), F.col(source))
+
+
 def grouped(stats: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
     """Adds g: the group whose estimate a document is held against; nulls are values of their own."""
-    fine, coarse = F.xxhash64(F.lit(1), F.col(lang), F.col(source)), F.xxhash64(F.lit(2), F.col(lang))
+    fine, coarse = _fine(lang, source), F.xxhash64(F.lit(2), F.col(lang))
     fit = stats.where(~base_failed())
     n_fine = fit.groupBy(fine.alias("fine")).agg(F.count(F.lit(1)).alias("n1"))
     n_coarse = fit.groupBy(coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n2"))
@@ -172,6 +177,29 @@ def grouped(stats: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP
     return rows.withColumn("g", F.when(F.col("n1") >= min_group, F.col("fine")).when(F.col("n2") >= min_group, F.col("coarse")).otherwise(F.lit(0).cast("bigint"))).drop("fine", "coarse", "n1", "n2")
 
 
+def fit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str], min_group: int, steps: int) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(rows, models, rates): counts and features of each row with its group g, written without text; one estimate per group."""
+    stats = materialize(with_counts(docs, text_col, [*keep, lang_col, source_col]))
+    lang, source = f"k{len(keep)}", f"k{len(keep) + 1}"
+    rates = corpus_rates(stats)
+    rows = materialize(grouped(features(stats, rates), lang, source, min_group).withColumn("fine", _fine(lang, source)))
+    good = rows.where(~base_failed())
+    start = good.groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
+    model = materialize(start.mapInArrow(_models(_first), MODEL))
+    sums = [F.count(F.lit(1)).cast("double"), *[F.sum(x) for x in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS]]
+    for _ in range(steps):
+        far = good.join(model, "g").withColumn("bin", F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(4 * F.log2(_distance() + 1e-6)))).cast("int"))
+        bins = far.groupBy("g", "bin").agg(F.array(F.col("bin").cast("double"), *sums).alias("row"))
+        model = materialize(bins.groupBy("g").agg(F.collect_list("row").alias("values")).mapInArrow(_models(_from_bins), MODEL))
+    return rows, model, rates
+
+
+def _verdicts(rows: DataFrame, limit: float) -> DataFrame:
+    """Adds distance, base_failed and kept to rows that have mu and prec (null where no estimate is comparable: those are kept)."""
+    out = rows.withColumn("distance", F.when(F.col("mu").isNotNull(), _distance())).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, limit: float = LIMIT, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
     """``keep`` (as k0, k1 ...), counts, distance, base_failed and kept, one row per row of ``docs``.
 
@@ -181,23 +209,32 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     comparable one is kept.
     """
     keep = keep or []
-    stats = materialize(with_counts(docs, text_col, [*keep, lang_col, source_col]))
-    lang, source = f"k{len(keep)}", f"k{len(keep) + 1}"
-    rows = materialize(grouped(features(stats, corpus_rates(stats)), lang, source, min_group))
-    fit = rows.where(~base_failed())
-    start = fit.groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
-    model = materialize(start.mapInArrow(_models(_first), MODEL))
-    sums = [F.count(F.lit(1)).cast("double"), *[F.sum(x) for x in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS]]
-    for _ in range(steps):
-        far = fit.join(model, "g").withColumn("bin", F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(4 * F.log2(_distance() + 1e-6)))).cast("int"))
-        bins = far.groupBy("g", "bin").agg(F.array(F.col("bin").cast("double"), *sums).alias("row"))
-        model = materialize(bins.groupBy("g").agg(F.collect_list("row").alias("values")).mapInArrow(_models(_from_bins), MODEL))
-    out = rows.join(model, "g", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
-    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
+    rows, model, _ = fit(docs, text_col, lang_col, source_col, keep, min_group, steps)
+    out = _verdicts(rows.join(model, "g", "left"), limit)
     return out.select(*[f"k{i}" for i in range(len(keep))], *BASE, *FEATURES, "distance", "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    verdicts = judge(docs, text_col, lang_col, source_col, keep=docs.columns, **options)
-    return verdicts.where("kept").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Estimates are fitted from counts alone; a second pass over the texts counts
+    again and meets the estimates on the group, so no text is shuffled and none
+    comes back from a Python worker.
+    """
+    rows, model, rates = fit(docs, text_col, lang_col, source_col, [], min_group, steps)
+    groups = materialize(rows.select("fine", "g").distinct().join(model, "g", "left").select("fine", "mu", "prec"))
+    own = docs.columns
+    kind = "struct<" + ", ".join(f"{c}:bigint" for c in BASE + MORE) + ">"
+
+    @F.arrow_udf(kind)
+    def counts(texts: pa.Array) -> pa.Array:
+        got = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(-1, len(BASE) + len(MORE))
+        return pa.StructArray.from_arrays([pa.array(c) for c in got.T], names=BASE + MORE)
+
+    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(own)])
+    at = {c: f"k{i}" for i, c in enumerate(own)}
+    # Called non-deterministic so that the planner evaluates it once per row, not once per use.
+    counted = src.withColumn("_c", counts.asNondeterministic()(F.col(at[text_col])))
+    wide = features(counted.select(*at.values(), *[F.col("_c")[c].alias(c) for c in BASE + MORE]), rates).withColumn("fine", _fine(at[lang_col], at[source_col]))
+    kept = _verdicts(wide.join(groups, "fine", "left"), limit).where("kept")
+    return kept.select(*[F.col(k).alias(c) for c, k in at.items()])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rockframe.operators.components import connected_components
-from rockframe.runtime import materialize, n_shuffle
+from rockframe.runtime import bounded_batches, materialize, n_shuffle
 
 RADIUS = 2
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint")
 
@@ -283,6 +284,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(bits, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "same", "bits", "keys"])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "id bigint, same bigint, bits binary, keys array<bigint>")
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rockframe.runtime import bounded_batches
+
 MARK = "▁"
 #: Parts and token pairs remembered per worker; its memory is bounded by them.
 CACHE_PARTS, CACHE_PAIRS = 600_000, 2_000_000
@@ -213,5 +215,6 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
                 d.append(sha(codec.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rockframe.runtime import materialize
+from rockframe.runtime import bounded_batches, materialize
 
 FIT_ROWS, WORDS, MIN_DOCS, ODDS = 2000, 50_000, 6, 2.5
 #: Texts beyond this are left out of the fit sample (never of scoring).
@@ -246,6 +246,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     Every row gets a score; null and empty texts that of a text without a toxic token.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
