@@ -17,11 +17,12 @@ until each run is small, so no group has to fit one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rockframe.operators.components import connected_components
@@ -250,152 +251,224 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Similar texts: fingerprints of WIDE words of 64 bits over sets of word pairs, cut in bands of BAND_BITS; pairs within FAR bits are checked exactly.
-WIDE, PAIR, BAND_BITS, FAR, LONG_RUN = 12, 2, 22, 140, 48
-BANDS = 64 * WIDE // BAND_BITS
+#: Texts (about) whose shingles say which are common, and how many of those are kept; they order the index and decide no pair.
+ORDER_TEXTS, COMMON = 20000, 1 << 18
+_word = lru_cache(maxsize=300_000)(xxhash.xxh64_intdigest)
 
 
-def wide_simhash(words: list[bytes]) -> bytes:
-    """WIDE SimHashes of the set of word pairs, from one hash of each pair by WIDE different mixings."""
-    joined = [b" ".join(words[i : i + PAIR]) for i in range(max(1, len(words) - PAIR + 1))]
-    base = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, len(joined)))
-    out = []
-    for j in range(WIDE):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(base), 65536):
-            z = base[at : at + 65536] + np.uint64((0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            ones += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(base), bitorder="little").tobytes())
-    return b"".join(out)
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``shingle`` words, ascending; fewer words are one run."""
+    w = np.fromiter(map(_word, words), np.uint64, len(words))
+    n = max(1, len(w) - shingle + 1)
+    h = np.full(n, min(shingle, len(w)), np.uint64)
+    for j in range(min(shingle, len(w))):
+        h = (h ^ w[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _row_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text): a row is known by its id and a hash of its text, so repeated and null ids take part."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, same, bits, keys): a hash of the word sequence, the wide fingerprint, and the key of each of its bands."""
+def _common(src: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, ascending, and of how many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t.as_py() or "").encode().lower().split() for t in b.column(1)]
-            bits = [wide_simhash(w) for w in texts]
-            flat = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
-            keys = flat.reshape(-1, BANDS, BAND_BITS).astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
-            same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(bits, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "same", "bits", "keys"])
+            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["h"])
 
-    bounded_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id bigint, same bigint, bits binary, keys array<bigint>")
+    share = min(1.0, ORDER_TEXTS / max(src.count(), 1))
+    sample = src.where(F.pmod("t", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["t"]).select("text")
+    seen = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = seen.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def _wide_planes(bits: np.ndarray) -> list[int]:
-    flat = np.unpackbits(bits, axis=1, bitorder="little")
-    return [int.from_bytes(np.packbits(flat[:, b], bitorder="little").tobytes(), "little") for b in range(flat.shape[1])]
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest shingles of a set: another set that is ``similarity`` alike has one of them among its own."""
+    known, freq = common
+    n = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        n = np.where(known[at] == found, freq[at], 0)
+    need = int(np.ceil(similarity * len(found) - 1e-6))
+    return found[np.lexsort((found, n))][: len(found) - need + 1]
 
 
-def _wide_links(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """Candidate pairs of rows sorted by key: all close pairs of a short run; in a long one each row with its run's first row close to it."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    by_row, out = np.repeat(sizes, sizes), []
-    short = np.flatnonzero((by_row > 1) & (by_row <= LONG_RUN))
-    if len(short):
-        k, planes = keys[short], _wide_planes(bits[short])
-        for shift in range(1, min(LONG_RUN, len(k))):
-            same = k[:-shift] == k[shift:]
-            if not same.any():
-                break
-            alive = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
-            if found := close_at(planes, shift, alive, far):
-                at = _bits(found)
-                out += zip(ids[short[at]].tolist(), ids[short[at + shift]].tolist(), strict=True)
-    for at, n in zip(starts[sizes > LONG_RUN].tolist(), sizes[sizes > LONG_RUN].tolist(), strict=True):
-        planes, left = _wide_planes(bits[at : at + n]), (1 << n) - 1
-        while left:
-            lead = (left & -left).bit_length() - 1
-            left &= left - 1
-            every = (1 << n) - 1
-            got = _within((p ^ every if p >> lead & 1 else p for p in planes), left, far)
-            left &= ~got
-            out += [(int(ids[at + lead]), int(ids[at + i])) for i in _bits(got)] if got else []
-    return out
+def _index(src: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, t, same, n, tokens): a hash of the word sequence, the size of the shingle set and its prefix (none for a copy met before in the task)."""
+    shared = src.sparkSession.sparkContext.broadcast(_common(src, shingle))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for b in batches:
+            same, sizes, tokens = [], [], []
+            for t in b.column(2):
+                words = _split(t.as_py())
+                same.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                new = same[-1] not in met
+                met.add(same[-1])
+                found = shingle_set(words, shingle) if new else np.zeros(0, np.int64)
+                sizes.append(len(found))
+                tokens.append(prefix(found, shared.value, similarity) if new else found)
+            cols = [pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["id", "t", "same", "n", "tokens"])
 
-def _wide_compare(far: int):
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    return src.mapInArrow(run, "id bigint, t bigint, same bigint, n int, tokens array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def flush(last: bool) -> pa.RecordBatch:
-            nonlocal held
-            k, i, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(k) if last else int(np.flatnonzero(k == k[-1])[0])
-            held = [(k[cut:], i[cut:], b[cut:])]
-            ends = np.array(sorted({(min(p), max(p)) for p in (_wide_links(k[:cut], i[:cut], b[:cut], far) if cut > 1 else [])}), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
+def _by_run(each, schema: pa.Schema):
+    """A task over rows sorted by their first column: ``each`` gets the columns of whole runs."""
 
-        for batch in batches:
-            if batch.num_rows:
-                raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-                held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), raw))
-                if sum(len(h[0]) for h in held) >= BLOCK_ROWS // 4:
-                    yield flush(False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            if rows + cut >= BLOCK_ROWS and (cut or held[0][0][0] != cols[0][0]):
+                held.append([c[:cut] for c in cols])
+                for out in each([np.concatenate(x) for x in zip(*held, strict=True)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema)
+                held, rows = [], 0
+                cols = [c[cut:] for c in cols]
+            held.append(cols)
+            rows += len(cols[0])
         if held:
-            yield flush(True)
+            for out in each([np.concatenate(x) for x in zip(*held, strict=True)]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema)
 
     return run
 
 
+def _shared_runs(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Rows (token, n, same, rest) of runs that two texts share; a text that came from several tasks counts once."""
+    token, _, same, _ = cols
+    once = np.concatenate(([True], (token[1:] != token[:-1]) | (same[1:] != same[:-1])))
+    cols = [c[once] for c in cols]
+    token = cols[0]
+    twin = np.zeros(len(token), bool)
+    equal = token[1:] == token[:-1]
+    twin[1:] |= equal
+    twin[:-1] |= equal
+    yield [c[twin] for c in cols]
+
+
+def _cross_pairs(similarity: float):
+    """Pairs of a run that may be similar and are not yet in one component, from rows (token, n, same, rest, component)."""
+
+    def each(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        token, n, same, rest, comp = cols
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        a, b, held = [], [], 0
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = comp[at:end]
+            if (own == own[0]).all():
+                continue
+            values, counts = np.unique(own, return_counts=True)
+            major = own == values[counts.argmax()]
+            order = at + np.concatenate((np.flatnonzero(~major), np.flatnonzero(major)))
+            sizes, left, group, ids = n[order].astype(np.int64), rest[order].astype(np.int64), comp[order], same[order]
+            for i in range(int((~major).sum())):  # the rest of the run is one component
+                may = (1 + similarity) * np.minimum(left[i], left[i + 1 :]) + 1e-6 >= similarity * (sizes[i] + sizes[i + 1 :])
+                hit = ids[i + 1 :][may & (group[i + 1 :] != group[i])]
+                if len(hit):
+                    a.append(np.minimum(hit, ids[i]))
+                    b.append(np.maximum(hit, ids[i]))
+                    if (held := held + len(hit)) >= BLOCK_ROWS:
+                        yield list(np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1))
+                        a, b, held = [], [], 0
+        if held:
+            yield list(np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1))
+
+    return each
+
+
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column(1):
-                w = (t.as_py() or "").encode().lower().split()
-                sets.append(sorted({xxhash.xxh32_intdigest(b" ".join(w[i : i + shingle])) - (1 << 31) for i in range(max(1, len(w) - shingle + 1))}))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["id", "set"])
+            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["same", "set"])
 
     return run
 
 
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, t, component) of each row, components named by one of their texts."""
+    spark = docs.sparkSession
+    parts = max(2 * n_shuffle(spark), 8)
+    bounded_batches(spark)
+    src = _row_texts(docs, id_col, text_col)
+    rows = materialize(_index(src, shingle, similarity))
+    keyed = rows.select("same", "n", F.posexplode("tokens").alias("at", "token")).select("token", "n", "same", (F.col("n") - F.col("at")).alias("rest"))
+    as_runs = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("same", pa.int64()), ("rest", pa.int32())])
+    runs = materialize(keyed.repartition(parts, "token").sortWithinPartitions("token", "n", "same").mapInArrow(_by_run(_shared_runs, as_runs), "token bigint, n int, same bigint, rest int"))
+    ends = runs.select("same").distinct()
+    one = rows.join(ends, "same", "left_semi").groupBy("same").agg(F.min(F.struct("id", "t")).alias("x")).select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"))
+    texts = src.join(one, src["id"].eqNullSafe(one["i"]) & (src["t"] == one["h"])).select("same", "text")
+    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "same bigint, set array<bigint>").dropDuplicates(["same"]))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("same").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("same").alias("dst"), F.col("set").alias("b")), "dst")
+        n = F.size(F.array_intersect("a", "b"))
+        return materialize(both.where(n >= similarity * (F.size("a") + F.size("b") - n)).select("src", "dst"))
+
+    # First each row with its run's nearest smaller one that can have similar larger ones; then all pairs these links leave apart.
+    before = Window.partitionBy("token").orderBy("n", "same").rowsBetween(Window.unboundedPreceding, -1)
+    full = (1 + similarity) * F.col("rest") + 1e-6 >= 2 * similarity * F.col("n")
+    near = runs.withColumn("y", F.last(F.when(full, F.struct("n", "same", "rest")), ignorenulls=True).over(before))
+    may = (1 + similarity) * F.least("rest", "y.rest") + 1e-6 >= similarity * (F.col("n") + F.col("y.n"))
+    chain = materialize(near.where(may).select(F.least("same", "y.same").alias("src"), F.greatest("same", "y.same").alias("dst")).distinct())
+    links = alike(chain)
+    comps = connected_components(links)
+    placed = runs.join(comps.withColumnRenamed("id", "same"), "same", "left").select("token", "n", "same", "rest", F.coalesce("component", "same").alias("component"))
+    pair = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    apart = placed.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_by_run(_cross_pairs(similarity), pair), "src bigint, dst bigint")
+    apart = materialize(apart.distinct().join(chain, ["src", "dst"], "left_anti"))
+    comps = connected_components(links.union(alike(apart)))
+    return rows.select("id", "t", "same").join(comps.withColumnRenamed("id", "same"), "same", "left").select("id", "t", F.coalesce("component", "same").alias("component"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of each distinct id: texts linked where the Jaccard similarity of their word shingles is ``similarity`` or more.
 
-    64 bits within a few differences find copies with hardly a change, not all
-    texts that share four fifths of their shingles. So candidates come from
-    wide fingerprints over word pairs (an edit touches fewer pairs than longer
-    shingles): rows that agree on one of BANDS bands meet, bit-sliced counters
-    keep the pairs within FAR bits, and each is then decided exactly on its
-    shingle sets. Texts of equal words are one node from the start. Null ids
-    are left out.
+    All such pairs are linked, by prefix filtering: shingles have one order,
+    rare ones first, and two sets that are similar share one of the first
+    shingles of each. Rows that share one make a run; what is left of both sets
+    from there bounds their overlap, and pairs that pass are decided on their
+    whole sets. Pairs already connected by others are not compared, so a large
+    group of near copies costs no more than its rows. Texts of equal words are
+    one node from the start. Rows without an id link others.
     """
-    parts = max(2 * n_shuffle(docs.sparkSession), 8)
-    fps = materialize(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    nodes = materialize(fps.groupBy("same").agg(F.min("id").alias("low"), F.min_by(F.struct("bits", "keys"), "id").alias("x")).select("low", "x.bits", "x.keys"))
-    keyed = nodes.select("low", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    ready = keyed.join(shared, "key", "left_semi").join(nodes.select("low", "bits"), "low").select("key", "low", "bits")
-    pairs = ready.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_wide_compare(FAR), "src bigint, dst bigint")
-    pairs = materialize(pairs.distinct())
-    ends = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "id bigint, set array<int>"))
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("set").alias("b")), "dst")
-    n = F.size(F.array_intersect("a", "b"))
-    links = both.where(n >= similarity * (F.size("a") + F.size("b") - n)).select("src", "dst")
-    comps = connected_components(materialize(links)).withColumnRenamed("id", "low")
-    roots = nodes.select("low").join(comps, "low", "left").select("low", F.coalesce("component", "low").alias("component"))
-    lows = fps.groupBy("same").agg(F.min("id").alias("low"))
-    return fps.select("id", "same").join(lows, "same").join(roots, "low").groupBy("id").agg(F.min("component").alias("component"))
+    rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity))
+    roots = rows.groupBy("component").agg(F.min("id").alias("root"))
+    return rows.where("id IS NOT NULL").join(roots, "component").groupBy("id").agg(F.min("root").alias("component"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: the one with the smallest id (of rows that repeat it, one).
+    """``docs`` with one row of each group of similar texts: the one with the smallest id, rows without one coming last.
 
-    Rows without an id stay.
+    Rows that repeat an id are rows of their own, told apart by their texts.
     """
-    keep = similar_groups(docs, id_col, text_col, shingle, similarity).where("id = component").select(F.col("id").alias(id_col))
-    known = docs.where(F.col(id_col).isNotNull())
-    return known.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = _similar_rows(docs, id_col, text_col, shingle, similarity).groupBy("component", "id", "t").agg(F.count(F.lit(1)).alias("c"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "c")).alias("x")
+    keep = materialize(rows.groupBy("component").agg(first).select(F.col("x.id").alias("_keep_id"), F.col("x.t").alias("_keep_t"), F.col("x.c").alias("_keep_c")))
+
+    def kept(which: DataFrame) -> DataFrame:
+        return docs.join(which, docs[id_col].cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_t")))
+
+    out = kept(keep.where("_keep_c = 1")).select(*docs.columns)
+    twice = keep.where("_keep_c > 1")
+    if twice.limit(1).count():
+        out = out.unionByName(kept(twice).dropDuplicates(["_keep_id", "_keep_t"]).select(*docs.columns))
+    return out

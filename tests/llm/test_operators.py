@@ -91,6 +91,40 @@ def test_similar_groups(spark):
     assert got == {i: 0 for i in [*range(8), 10]} | {8: 8, 9: 9, 11: 11, 12: 11}
 
 
+def brute_similar(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    near = {(a, b) for w in where.values() if len(w) < 20 for a in w for b in w if a < b}
+    near |= {(a, b) for a in sets for b in sets if a < b} if len(sets) < 600 else set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(near):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_appended_and_replaced_passages_are_all_found(spark):
+    rng, rows = np.random.default_rng(1), []
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    for k in range(80):
+        base, n = words(200 + k), (200 + k) // 4 - 2 - k % 3
+        at, block = int(rng.integers(0, 150)), len(base) // 12
+        rows += [(3 * k, base), (3 * k + 1, base + words(n)), (3 * k + 2, base[:at] + words(block) + base[at + block :])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_similar(rows) and set(got.values()) == {3 * k for k in range(80)}
+
+
 # --- 2: fingerprints
 
 
