@@ -125,6 +125,27 @@ def test_appended_and_replaced_passages_are_all_found(spark):
     assert got == brute_similar(rows) and set(got.values()) == {3 * k for k in range(80)}
 
 
+def test_twins_in_a_large_group_of_variants_are_all_found(spark):
+    rng, rows = np.random.default_rng(2), []
+    template = [f"w{i}" for i in range(120)]
+    for k in range(1500):
+        own = list(template)
+        for at in rng.choice(120, 5, replace=False):
+            own[at] = f"v{k}x{at}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, f"end{k}"]))]
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(1500)) and len(set(got.values())) > 500
+
+
+def test_a_large_group_of_near_copies_is_linked_without_all_pairs(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[:100], f"v{k}", *base[101:]])) for k in range(300)]
+    src = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["component"] for r in simhash.similar_groups(src).collect()} == {0}
+    run = [np.zeros(300, np.int64), np.full(300, 196, np.int32), np.arange(300), np.full(300, 196, np.int32), np.zeros(300, np.int64)]
+    assert not list(simhash._cross_pairs(0.8)(run))
+
+
 # --- 2: fingerprints
 
 
