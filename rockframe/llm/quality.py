@@ -168,13 +168,13 @@ def _fine(lang: str, source: str) -> Column:
 
 
 def grouped(stats: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds g: the group whose estimate a document is held against; nulls are values of their own."""
+    """Adds fine and coarse (keys of language and source, and of language) and g: the finest of both and 0 (all) with enough documents; nulls are values of their own."""
     fine, coarse = _fine(lang, source), F.xxhash64(F.lit(2), F.col(lang))
     fit = stats.where(~base_failed())
     n_fine = fit.groupBy(fine.alias("fine")).agg(F.count(F.lit(1)).alias("n1"))
     n_coarse = fit.groupBy(coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n2"))
     rows = stats.withColumn("fine", fine).withColumn("coarse", coarse).join(n_fine, "fine", "left").join(n_coarse, "coarse", "left")
-    return rows.withColumn("g", F.when(F.col("n1") >= min_group, F.col("fine")).when(F.col("n2") >= min_group, F.col("coarse")).otherwise(F.lit(0).cast("bigint"))).drop("fine", "coarse", "n1", "n2")
+    return rows.withColumn("g", F.when(F.col("n1") >= min_group, F.col("fine")).when(F.col("n2") >= min_group, F.col("coarse")).otherwise(F.lit(0).cast("bigint"))).drop("n1", "n2")
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str], min_group: int, steps: int) -> tuple[DataFrame, DataFrame, dict[str, float]]:
@@ -182,9 +182,10 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: li
     stats = materialize(with_counts(docs, text_col, [*keep, lang_col, source_col]))
     lang, source = f"k{len(keep)}", f"k{len(keep) + 1}"
     rates = corpus_rates(stats)
-    rows = materialize(grouped(features(stats, rates), lang, source, min_group).withColumn("fine", _fine(lang, source)))
-    good = rows.where(~base_failed())
-    start = good.groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
+    rows = materialize(grouped(features(stats, rates), lang, source, min_group))
+    # A language's estimate takes all its documents, also those of sources with one of their own, and that of 0 takes all.
+    good = rows.where(~base_failed()).select(*FEATURES, F.explode(F.array("fine", "coarse", F.lit(0).cast("bigint"))).alias("g"))
+    start = good.join(rows.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
     model = materialize(start.mapInArrow(_models(_first), MODEL))
     sums = [F.count(F.lit(1)).cast("double"), *[F.sum(x) for x in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS]]
     for _ in range(steps):
@@ -204,9 +205,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """``keep`` (as k0, k1 ...), counts, distance, base_failed and kept, one row per row of ``docs``.
 
     Documents that fail the fixed limits take no part in an estimate. A group's
-    estimate exists wherever a document needs one: the fallback group holds all
-    documents that no larger group claims, and a document without any
-    comparable one is kept.
+    estimate exists wherever a document needs one, and takes all documents of
+    the group: a language's those of all its sources, the last all there are. A
+    document without any comparable one is kept.
     """
     keep = keep or []
     rows, model, _ = fit(docs, text_col, lang_col, source_col, keep, min_group, steps)

@@ -224,6 +224,17 @@ def test_quality_of_documents(spark, sf_dir, texts):
     assert both[both["quality"] == 1]["kept"].mean() > 0.95 and both[both["quality"] == 0]["kept"].mean() < 0.5
 
 
+def test_rare_sources_meet_their_whole_language(spark):
+    rng, rows = np.random.default_rng(4), []
+    text = lambda k, upper: " ".join((w.upper() if upper else w) for w in (f"{'abcdefgh'[: 3 + int(rng.integers(0, 6))]}" for _ in range(k)))
+    rows += [(i, text(60, False), "en", "large") for i in range(300)]
+    rows += [(300, text(60, True), "en", "one"), (301, text(60, False), "en", "two"), (302, text(60, True), None, None), (303, text(60, False), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r["k0"]: r["kept"] for r in quality.judge(docs, keep=["doc_id"]).collect()}
+    assert [kept[i] for i in range(300, 304)] == [False, True, False, True]
+    assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
+
+
 def test_estimate_ignores_a_quarter_of_junk():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 1, (3000, 6)), rng.normal(12, 1, (700, 6))])
