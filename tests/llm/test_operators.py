@@ -420,6 +420,20 @@ def test_ids_as_the_library(text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
+PLAIN = Tokenizer.from_file(BYTE)
+
+
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "\n", "x", " y", "it's", "  "]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_added_tokens_inside_texts(parts):
+    text = "".join(parts)
+    assert np.frombuffer(ENCODE(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_the_end_token_inside_a_text():
+    assert np.frombuffer(ENCODE("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+
+
 @given(st.integers(0, 5000))
 def test_cuts_cover(n):
     pieces = packing.cuts(n)
