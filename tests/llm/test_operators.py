@@ -146,6 +146,13 @@ def test_a_large_group_of_near_copies_is_linked_without_all_pairs(spark):
     assert not list(simhash._cross_pairs(0.8)(run))
 
 
+def test_repeated_and_null_ids_are_told_apart_by_text(spark):
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [(1, "one text of its own"), (1, "quite another text"), (None, other), (None, other), (2, other + " more"), (None, "alone here"), (3, "twice"), (3, "twice")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "alone here"), (1, "one text of its own"), (1, "quite another text"), (2, other + " more"), (3, "twice")]
+
+
 # --- 2: fingerprints
 
 
