@@ -27,7 +27,7 @@ from rockframe.runtime import bounded_batches
 
 FIT_ROWS, WORDS, GRAMS, ORDERS = 3000, 20000, 6000, (5, 4, 3, 2, 1)
 #: A word counts as known if so many fitted texts' worth of it was seen.
-MIN_COUNT, CACHE_WORDS, UND = 3, 300_000, "und"
+MIN_COUNT, CACHE_WORDS, SLICE, UND = 3, 300_000, 65536, "und"
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,6 +42,14 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _slices(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams of a word, SLICE at most at a time."""
+    w = f"^{word}$" if n > 1 else word
+    for at in range(0, len(w) - n + 1, SLICE):
+        part = w[at : at + SLICE + n - 1]
+        yield [part[i : i + n] for i in range(len(part) - n + 1)]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, unit, count) of a partition; n = 0 for words. N-grams count once per distinct word and text."""
     for b in batches:
@@ -109,9 +117,12 @@ class Scorer:
             return self.freq[i]
         for n in ORDERS:
             find = self.rows[n].get
-            hits = [i for g in grams_of(w[:64], n) if (i := find(g)) is not None]
-            if hits:
-                return self.freq[hits].mean(0)
+            total, seen = 0.0, 0
+            for part in _slices(w, n):
+                if hits := [i for g in part if (i := find(g)) is not None]:
+                    total, seen = total + self.freq[hits].sum(0, dtype=np.float64), seen + len(hits)
+            if seen:
+                return (total / seen).astype(np.float32)
         return np.zeros(max(1, len(self.langs)), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:

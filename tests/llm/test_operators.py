@@ -296,6 +296,13 @@ def test_unseen_words_back_off():
     assert s("known")[0] == "a" and s("wxyzw")[0] == "b" and s("q!")[0] == "a" and s("12 ?")[0] == "und" and s(None) == ("und", 0.0)
 
 
+def test_all_letters_of_a_long_run_count():
+    model = {"langs": ["a", "b"], "units": {(3, "xyz"): np.array([-5.0, -2.0]), (3, "uvw"): np.array([-2.0, -5.0])}}
+    s = langid.Scorer(model)
+    assert s("xyz" + "q" * 61 + "uvw" * 5)[0] == "a" and s("xyz" + "q" * 200_000 + "uvw" * 5)[0] == "a"
+    assert all([g for part in langid._slices(w, n) for g in part] == langid.grams_of(w, n) for w in ("", "ab", "z" * 65_534, "abcde" * 30_000) for n in langid.ORDERS)
+
+
 # --- 5: shards
 
 
