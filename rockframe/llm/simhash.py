@@ -252,7 +252,7 @@ def hex16(fp: Column) -> Column:
 
 
 #: Texts (about) whose shingles say which are common, and how many of those are kept; they order the index and decide no pair.
-ORDER_TEXTS, COMMON = 20000, 1 << 18
+ORDER_TEXTS, COMMON = 4000, 1 << 18
 _word = lru_cache(maxsize=300_000)(xxhash.xxh64_intdigest)
 
 
@@ -413,12 +413,16 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     keyed = rows.select("same", "n", F.posexplode("tokens").alias("at", "token")).select("token", "n", "same", (F.col("n") - F.col("at")).alias("rest"))
     as_runs = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("same", pa.int64()), ("rest", pa.int32())])
     runs = materialize(keyed.repartition(parts, "token").sortWithinPartitions("token", "n", "same").mapInArrow(_by_run(_shared_runs, as_runs), "token bigint, n int, same bigint, rest int"))
-    ends = runs.select("same").distinct()
-    one = rows.join(ends, "same", "left_semi").groupBy("same").agg(F.min(F.struct("id", "t")).alias("x")).select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"))
-    texts = src.join(one, src["id"].eqNullSafe(one["i"]) & (src["t"] == one["h"])).select("same", "text")
-    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "same bigint, set array<bigint>").dropDuplicates(["same"]))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("src").alias("same")).union(pairs.select(F.col("dst").alias("same"))).distinct()
+        of = rows.join(ends, "same", "left_semi").groupBy("same", "id", "t").agg(F.count(F.lit(1)).alias("c"))
+        one = materialize(of.groupBy("same").agg(F.min(F.struct("id", "t", "c")).alias("x")).select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"), F.col("x.c").alias("c")))
+        texts = src.join(one, src["id"].eqNullSafe(one["i"]) & (src["t"] == one["h"])).select("same", "text")
+        sets = texts.mapInArrow(_shingle_sets(shingle), "same bigint, set array<bigint>")
+        if one.where("c > 1").limit(1).count():
+            sets = sets.dropDuplicates(["same"])
+        sets = materialize(sets)
         both = pairs.join(sets.select(F.col("same").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("same").alias("dst"), F.col("set").alias("b")), "dst")
         n = F.size(F.array_intersect("a", "b"))
         return materialize(both.where(n >= similarity * (F.size("a") + F.size("b") - n)).select("src", "dst"))
