@@ -251,156 +251,206 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Texts (about) whose shingles say which are common, and how many of those are kept; they order the index and decide no pair.
-ORDER_TEXTS, COMMON = 4000, 1 << 18
+#: Similar texts: bands of minima that propose pairs, bits of the sketch that judges them, differing bits beyond which a pair is given up.
+MINIMA, BANDS, SKETCH_BITS, FAR = 5, 36, 2048, 383
+#: Nearest partners that a row tries first in each run; rows of a run in one task, longer runs are dealt over several.
+NEAREST, RUN_ROWS = 8, 4096
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _word = lru_cache(maxsize=300_000)(xxhash.xxh64_intdigest)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A full mix of 64-bit values (two rounds of multiply and shift)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_TURNS = _mixed(np.arange(1, MINIMA * BANDS + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
+_LANES = _mixed(np.arange(1, SKETCH_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Distinct hashes of the runs of ``shingle`` words, ascending; fewer words are one run."""
     w = np.fromiter(map(_word, words), np.uint64, len(words))
     n = max(1, len(w) - shingle + 1)
     h = np.full(n, min(shingle, len(w)), np.uint64)
     for j in range(min(shingle, len(w))):
-        h = (h ^ w[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ w[j : j + n]) * _GOLD
         h ^= h >> np.uint64(29)
     return np.unique(h.view(np.int64))
 
 
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key per band of a shingle set: a hash of ``MINIMA`` of its minima.
 
+    Two sets of similarity s agree on a band with probability s^MINIMA; at 0.8
+    they agree on none of ``BANDS`` with less than one in a million.
+    """
+    h, least = _mixed(found.view(np.uint64)), np.full(len(_TURNS), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (_TURNS[:, None] * h[at : at + 4096]).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, MINIMA).T:
+        key = _mixed((key ^ part) * _GOLD)
+    return key.view(np.int64)
 
-def _row_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, text): a row is known by its id and a hash of its text, so repeated and null ids take part."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
+def sketch(found: np.ndarray) -> bytes:
+    """The SimHash of a shingle set in ``SKETCH_BITS`` bits.
 
-def _common(src: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of texts have, ascending, and of how many texts."""
+    At similarity 0.8 two sketches differ in 310 bits on average, deviation 16:
+    ``FAR`` is 4.5 deviations above (three pairs in a million, at 0.8 exactly).
+    """
+    h, ones = found.view(np.uint64), np.zeros(SKETCH_BITS, np.int64)
+    for at in range(0, len(h), 255):
+        lanes = _mixed(h[at : at + 255, None] + _LANES)
+        ones += np.add.reduce(np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["h"])
 
-    share = min(1.0, ORDER_TEXTS / max(src.count(), 1))
-    sample = src.where(F.pmod("t", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["t"]).select("text")
-    seen = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = seen.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest shingles of a set: another set that is ``similarity`` alike has one of them among its own."""
-    known, freq = common
-    n = np.zeros(len(found), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        n = np.where(known[at] == found, freq[at], 0)
-    need = int(np.ceil(similarity * len(found) - 1e-6))
-    return found[np.lexsort((found, n))][: len(found) - need + 1]
+def _row_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text): a row is known by its id and a hash of its text, so repeated and null ids take part."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _index(src: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, t, same, n, tokens): a hash of the word sequence, the size of the shingle set and its prefix (none for a copy met before in the task)."""
-    shared = src.sparkSession.sparkContext.broadcast(_common(src, shingle))
+def _banded(src: DataFrame, shingle: int) -> DataFrame:
+    """(id, t, same, keys): a hash of the word sequence, and its band keys (none for a copy met before in the task)."""
+    kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            same, sizes, tokens = [], [], []
+            same, keys = [], []
             for t in b.column(2):
                 words = _split(t.as_py())
                 same.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                new = same[-1] not in met
+                keys.append(None if same[-1] in met else band_keys(shingle_set(words, shingle)))
                 met.add(same[-1])
-                found = shingle_set(words, shingle) if new else np.zeros(0, np.int64)
-                sizes.append(len(found))
-                tokens.append(prefix(found, shared.value, similarity) if new else found)
-            cols = [pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["id", "t", "same", "n", "tokens"])
+            cols = [pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["id", "t", "same", "keys"])
 
-    return src.mapInArrow(run, "id bigint, t bigint, same bigint, n int, tokens array<bigint>")
+    return src.mapInArrow(run, f"id {kind}, t bigint, same bigint, keys array<bigint>")
 
 
-def _by_run(each, schema: pa.Schema):
-    """A task over rows sorted by their first column: ``each`` gets the columns of whole runs."""
+def _sketched(shingle: int):
+    """(same, text) to (same, sketch, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
-            if rows + cut >= BLOCK_ROWS and (cut or held[0][0][0] != cols[0][0]):
-                held.append([c[:cut] for c in cols])
-                for out in each([np.concatenate(x) for x in zip(*held, strict=True)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema)
-                held, rows = [], 0
-                cols = [c[cut:] for c in cols]
-            held.append(cols)
-            rows += len(cols[0])
-        if held:
-            for out in each([np.concatenate(x) for x in zip(*held, strict=True)]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=schema)
+            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(1)]
+            cols = [pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["same", "sketch", "set"])
 
     return run
 
 
-def _shared_runs(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Rows (token, n, same, rest) of runs that two texts share; a text that came from several tasks counts once."""
-    token, _, same, _ = cols
-    once = np.concatenate(([True], (token[1:] != token[:-1]) | (same[1:] != same[:-1])))
-    cols = [c[once] for c in cols]
-    token = cols[0]
-    twin = np.zeros(len(token), bool)
-    equal = token[1:] == token[:-1]
-    twin[1:] |= equal
-    twin[:-1] |= equal
-    yield [c[twin] for c in cols]
-
-
-def _cross_pairs(similarity: float):
-    """Pairs of a run that may be similar and are not yet in one component, from rows (token, n, same, rest, component)."""
-
-    def each(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        token, n, same, rest, comp = cols
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-        a, b, held = [], [], 0
-        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            own = comp[at:end]
-            if (own == own[0]).all():
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    """Rows of 64-bit words of a column of sketches."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), SKETCH_BITS // 64)
+
+
+def _wide_planes(rows: np.ndarray) -> list[int]:
+    """Bit b of all rows as one integer, for all b."""
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+    return [int.from_bytes(p.tobytes(), "little") for p in np.packbits(bits.T, axis=1, bitorder="little")]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (src, dst, x, y) those whose sketches are within FAR bits, with their distance; a block of pairs is one comparison."""
+    for b in batches:
+        for at in range(0, b.num_rows, 8192):
+            part = b.slice(at, 8192)
+            x, y = _matrix(part.column(2)), _matrix(part.column(3))
+            hit = _bits(found) if (found := _within(iter(_wide_planes(x ^ y)), (1 << len(x)) - 1, FAR)) else np.zeros(0, np.int64)
+            cols = [part.column(i).take(pa.array(hit)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(_apart(x[hit], y[hit]))], names=["src", "dst", "d"])
+
+
+def _run_pairs(run: np.ndarray, comp: np.ndarray, guest: np.ndarray, minor: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs within FAR bits, of one run and two components, one of them minor; guests meet only residents.
+
+    Short runs lie side by side in one block, compared at every shift; in a
+    long one each minor row is compared with all rows at once.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(run)])))
+    by_row = np.repeat(sizes, sizes)
+    short = np.flatnonzero((by_row > 1) & (by_row <= SHORT_RUN))
+    for at in range(0, len(short), 16384):
+        pick = short[max(0, at - SHORT_RUN) : at + 16384]  # runs that a cut divides meet in the overlap
+        planes, r, c, m, g = _wide_planes(rows[pick]), run[pick], comp[pick], minor[pick], guest[pick]
+        for s in range(1, SHORT_RUN):
+            may = (r[:-s] == r[s:]) & (c[:-s] != c[s:]) & (m[:-s] | m[s:]) & ~(g[:-s] & g[s:])
+            if not (r[:-s] == r[s:]).any():
+                break
+            if may.any() and (found := close_at(planes, s, int.from_bytes(np.packbits(may, bitorder="little").tobytes(), "little"), FAR)):
+                i = _bits(found)
+                yield pick[i], pick[i + s]
+    for at, n in zip(starts[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
+        part = slice(at, at + n)
+        planes, full = _wide_planes(rows[part]), (1 << n) - 1
+        resident = ~guest[part]
+        order = np.arange(n)
+        for i in np.flatnonzero(minor[part]).tolist():
+            # Two minor residents meet once; a guest meets residents only.
+            may = resident & (comp[part] != comp[at + i]) & (~minor[part] | (order > i) | bool(guest[at + i]))
+            if not may.any():
                 continue
-            values, counts = np.unique(own, return_counts=True)
-            major = own == values[counts.argmax()]
-            order = at + np.concatenate((np.flatnonzero(~major), np.flatnonzero(major)))
-            sizes, left, group, ids = n[order].astype(np.int64), rest[order].astype(np.int64), comp[order], same[order]
-            for i in range(int((~major).sum())):  # the rest of the run is one component
-                may = (1 + similarity) * np.minimum(left[i], left[i + 1 :]) + 1e-6 >= similarity * (sizes[i] + sizes[i + 1 :])
-                hit = ids[i + 1 :][may & (group[i + 1 :] != group[i])]
-                if len(hit):
-                    a.append(np.minimum(hit, ids[i]))
-                    b.append(np.maximum(hit, ids[i]))
-                    if (held := held + len(hit)) >= BLOCK_ROWS:
-                        yield list(np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1))
-                        a, b, held = [], [], 0
-        if held:
-            yield list(np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1))
+            own = np.unpackbits(rows[at + i : at + i + 1].view(np.uint8), bitorder="little")
+            found = _within((p ^ full if o else p for p, o in zip(planes, own.tolist(), strict=True)), int.from_bytes(np.packbits(may, bitorder="little").tobytes(), "little"), FAR)
+            if found:
+                j = at + _bits(found)
+                yield np.full(len(j), at + i), j
 
-    return each
 
+def _cross_pairs(nearest: int | None):
+    """A task over rows (run, same, component, guest, minor, sketch) sorted by run: distinct pairs (src, dst); only each row's ``nearest`` where given."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-def _shingle_sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(cols: list) -> pa.RecordBatch:
+        run, same, comp, guest, minor = (np.asarray(c) for c in cols[:5])
+        rows = cols[5]
+        got = [(i, j) for i, j in _run_pairs(run, comp, guest, minor, rows)]
+        i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        if nearest and len(i):
+            d = np.concatenate([_apart(rows[i[k : k + 8192]], rows[j[k : k + 8192]]) for k in range(0, len(i), 8192)])
+            ends = np.where(minor[i], i, j)  # the row that tries
+            order = np.lexsort((same[j], same[i], d, ends))
+            first = np.concatenate(([True], ends[order][1:] != ends[order][:-1]))
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            i, j = i[order[rank < nearest]], j[order[rank < nearest]]
+        pairs = np.unique(np.stack((np.minimum(same[i], same[j]), np.maximum(same[i], same[j])), axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        count = 0
         for b in batches:
-            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["same", "set"])
+            if not b.num_rows:
+                continue
+            cols = [*[c.to_numpy(zero_copy_only=False) for c in b.columns[:5]], _matrix(b.column(5))]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            if count + cut >= RUN_ROWS and (cut or held[-1][0][-1] != cols[0][0]):
+                held.append([c[:cut] for c in cols])
+                yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+                held, count = [], 0
+                cols = [c[cut:] for c in cols]
+            held.append(cols)
+            count += len(cols[0])
+        if held:
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return run
+    return task
 
 
 def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -409,50 +459,64 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     parts = max(2 * n_shuffle(spark), 8)
     bounded_batches(spark)
     src = _row_texts(docs, id_col, text_col)
-    rows = materialize(_index(src, shingle, similarity))
-    keyed = rows.select("same", "n", F.posexplode("tokens").alias("at", "token")).select("token", "n", "same", (F.col("n") - F.col("at")).alias("rest"))
-    as_runs = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("same", pa.int64()), ("rest", pa.int32())])
-    runs = materialize(keyed.repartition(parts, "token").sortWithinPartitions("token", "n", "same").mapInArrow(_by_run(_shared_runs, as_runs), "token bigint, n int, same bigint, rest int"))
+    rows = materialize(_banded(src, shingle))
+    keyed = rows.where("keys IS NOT NULL").select("same", F.explode("keys").alias("key"))
+    # Copies from several tasks repeat (same, key): a run needs two texts.
+    lead = F.min_by("same", F.xxhash64("same", "key")).alias("lead")
+    shared = keyed.groupBy("key").agg(lead, F.min("same").alias("a"), F.max("same").alias("b")).where("a < b").select("key", "lead")
+    runs = materialize(keyed.join(shared, "key").distinct())
+
+    one = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x"))
+    one = one.join(runs.select("same").distinct(), "same", "left_semi").select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"))
+    texts = src.join(materialize(one), src["id"].eqNullSafe(F.col("i")) & (src["t"] == F.col("h"))).select("same", "text")
+    known = materialize(texts.mapInArrow(_sketched(shingle), "same bigint, sketch binary, set array<bigint>"))
+    if known.groupBy("same").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():  # rows that repeat id and text
+        known = materialize(known.dropDuplicates(["same"]))
+    sketches, sets = known.select("same", "sketch"), known.select("same", "set")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("src").alias("same")).union(pairs.select(F.col("dst").alias("same"))).distinct()
-        of = rows.join(ends, "same", "left_semi").groupBy("same", "id", "t").agg(F.count(F.lit(1)).alias("c"))
-        one = materialize(of.groupBy("same").agg(F.min(F.struct("id", "t", "c")).alias("x")).select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"), F.col("x.c").alias("c")))
-        texts = src.join(one, src["id"].eqNullSafe(one["i"]) & (src["t"] == one["h"])).select("same", "text")
-        sets = texts.mapInArrow(_shingle_sets(shingle), "same bigint, set array<bigint>")
-        if one.where("c > 1").limit(1).count():
-            sets = sets.dropDuplicates(["same"])
-        sets = materialize(sets)
         both = pairs.join(sets.select(F.col("same").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("same").alias("dst"), F.col("set").alias("b")), "dst")
         n = F.size(F.array_intersect("a", "b"))
         return materialize(both.where(n >= similarity * (F.size("a") + F.size("b") - n)).select("src", "dst"))
 
-    # First each row with its run's nearest smaller one that can have similar larger ones; then all pairs these links leave apart.
-    before = Window.partitionBy("token").orderBy("n", "same").rowsBetween(Window.unboundedPreceding, -1)
-    full = (1 + similarity) * F.col("rest") + 1e-6 >= 2 * similarity * F.col("n")
-    near = runs.withColumn("y", F.last(F.when(full, F.struct("n", "same", "rest")), ignorenulls=True).over(before))
-    may = (1 + similarity) * F.least("rest", "y.rest") + 1e-6 >= similarity * (F.col("n") + F.col("y.n"))
-    chain = materialize(near.where(may).select(F.least("same", "y.same").alias("src"), F.greatest("same", "y.same").alias("dst")).distinct())
-    links = alike(chain)
+    # First each text with the nearest of the leaders of its runs.
+    led = runs.where("same <> lead").select("same", "lead").distinct()
+    led = led.join(sketches.withColumnRenamed("sketch", "x"), "same").join(sketches.select(F.col("same").alias("lead"), F.col("sketch").alias("y")), "lead")
+    close = led.select(F.col("same").alias("src"), F.col("lead").alias("dst"), "x", "y").mapInArrow(_near_pairs, "src bigint, dst bigint, d bigint")
+    tried = materialize(close.groupBy("src").agg(F.min_by("dst", F.struct("d", "dst")).alias("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    links = alike(tried)
+    # Then rows of runs that are not yet one component: the nearest of each row, and at last all pairs.
+    for nearest in (NEAREST, None):
+        comps = connected_components(links)
+        placed = runs.join(comps.withColumnRenamed("id", "same"), "same", "left").select("key", "same", F.coalesce("component", "same").alias("component"))
+        placed = materialize(placed)
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        parted = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        cut = F.expr(f"cast(ceil(n / {RUN_ROWS}) AS int)")
+        open_ = placed.join(parted.select("key", "major", cut.alias("cut")), "key").withColumn("minor", F.col("component") != F.col("major"))
+        home = F.pmod(F.xxhash64("same", "key"), "cut").cast("int")
+        guests = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cut") - 1)).otherwise(F.array(home))
+        dealt = open_.withColumn("home", home).withColumn("at", F.explode(guests)).withColumn("run", F.xxhash64("key", "at")).withColumn("guest", F.col("at") != F.col("home"))
+        dealt = dealt.select("same", "run", "component", "guest", "minor").join(sketches, "same").select("run", "same", "component", "guest", "minor", "sketch")
+        pairs = dealt.repartition(parts, "run").sortWithinPartitions("run", "same").mapInArrow(_cross_pairs(nearest), "src bigint, dst bigint")
+        pairs = materialize(pairs.distinct().join(tried, ["src", "dst"], "left_anti"))
+        links = links.union(alike(pairs))
+        tried = tried.union(pairs)
     comps = connected_components(links)
-    placed = runs.join(comps.withColumnRenamed("id", "same"), "same", "left").select("token", "n", "same", "rest", F.coalesce("component", "same").alias("component"))
-    pair = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    apart = placed.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_by_run(_cross_pairs(similarity), pair), "src bigint, dst bigint")
-    apart = materialize(apart.distinct().join(chain, ["src", "dst"], "left_anti"))
-    comps = connected_components(links.union(alike(apart)))
     return rows.select("id", "t", "same").join(comps.withColumnRenamed("id", "same"), "same", "left").select("id", "t", F.coalesce("component", "same").alias("component"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) of each distinct id: texts linked where the Jaccard similarity of their word shingles is ``similarity`` or more.
-
-    All such pairs are linked, by prefix filtering: shingles have one order,
-    rare ones first, and two sets that are similar share one of the first
-    shingles of each. Rows that share one make a run; what is left of both sets
-    from there bounds their overlap, and pairs that pass are decided on their
-    whole sets. Pairs already connected by others are not compared, so a large
-    group of near copies costs no more than its rows. Texts of equal words are
-    one node from the start. Rows without an id link others.
+    """(id, component) of each distinct id: texts linked where the Jaccard similarity of their word shingles is ``similarity`` (0.8 or more).
+
+    Bands of minima of the shingle sets propose pairs, bit-sliced comparison of
+    wide SimHashes of the sets judges them, and those that pass are decided by
+    their whole sets. A text is first compared with the leader of each of its
+    runs (texts of one band key), so a large group of near copies mostly joins
+    in work proportional to its rows; afterwards only rows of other components
+    than the largest of their run are compared with it. No pair is dropped for
+    the size of a run: long ones are dealt over several tasks. Texts of equal
+    words are one node from the start. Rows without an id link others.
     """
     rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity))
     roots = rows.groupBy("component").agg(F.min("id").alias("root"))
@@ -463,16 +527,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of similar texts: the one with the smallest id, rows without one coming last.
 
     Rows that repeat an id are rows of their own, told apart by their texts.
+    What goes is told to the texts, as it is less than what stays.
     """
-    rows = _similar_rows(docs, id_col, text_col, shingle, similarity).groupBy("component", "id", "t").agg(F.count(F.lit(1)).alias("c"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "c")).alias("x")
-    keep = materialize(rows.groupBy("component").agg(first).select(F.col("x.id").alias("_keep_id"), F.col("x.t").alias("_keep_t"), F.col("x.c").alias("_keep_c")))
+    rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity).groupBy("component", "id", "t").agg(F.count(F.lit(1)).alias("c")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")
+    roots = rows.groupBy("component").agg(first, F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where("n > 1").select("component", F.col("x.id").alias("i"), F.col("x.t").alias("h"))
+    judged = rows.join(roots, "component").withColumn("root", F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h")))
+    judged = materialize(judged.select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t"), "c", "root").where("NOT root OR c > 1"))
 
-    def kept(which: DataFrame) -> DataFrame:
-        return docs.join(which, docs[id_col].cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_t")))
+    def of(which: DataFrame, how: str) -> DataFrame:
+        return docs.join(which.select("_gone_id", "_gone_t"), docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_t")), how)
 
-    out = kept(keep.where("_keep_c = 1")).select(*docs.columns)
-    twice = keep.where("_keep_c > 1")
+    out = of(judged, "left_anti").select(*docs.columns)
+    twice = judged.where("root")
     if twice.limit(1).count():
-        out = out.unionByName(kept(twice).dropDuplicates(["_keep_id", "_keep_t"]).select(*docs.columns))
+        again = of(twice, "left_semi").withColumn("_t", F.xxhash64(text_col)).dropDuplicates([id_col, "_t"])
+        out = out.unionByName(again.select(*docs.columns))
     return out

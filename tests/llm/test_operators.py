@@ -142,8 +142,35 @@ def test_a_large_group_of_near_copies_is_linked_without_all_pairs(spark):
     rows = [(k, " ".join([*base[:100], f"v{k}", *base[101:]])) for k in range(300)]
     src = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["component"] for r in simhash.similar_groups(src).collect()} == {0}
-    run = [np.zeros(300, np.int64), np.full(300, 196, np.int32), np.arange(300), np.full(300, 196, np.int32), np.zeros(300, np.int64)]
-    assert not list(simhash._cross_pairs(0.8)(run))
+    one = {"run": np.zeros(300, np.int64), "comp": np.zeros(300, np.int64), "guest": np.zeros(300, bool), "minor": np.zeros(300, bool)}
+    assert not list(simhash._run_pairs(*one.values(), np.zeros((300, simhash.SKETCH_BITS // 64), np.uint64)))
+
+
+@pytest.mark.parametrize("n", [30, 200])
+def test_pairs_of_a_run_across_components(n):
+    """Short and long runs: every pair within FAR bits, of two components, one of them minor, guests meeting residents only."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, simhash.SKETCH_BITS // 64, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(simhash.SKETCH_BITS, rng.integers(100, 330), replace=False)) for _ in range(n)]
+    rows = np.stack([base ^ np.frombuffer(f.to_bytes(simhash.SKETCH_BITS // 8, "little"), np.uint64) for f in flips])
+    comp = rng.integers(0, 6, n)
+    guest = rng.random(n) < 0.2
+    minor = (comp > 0) | guest
+    got = {tuple(sorted(p)) for i, j in simhash._run_pairs(np.zeros(n, np.int64), comp, guest, minor, rows) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    near = lambda a, b: int(np.bitwise_count(rows[a] ^ rows[b]).sum()) <= simhash.FAR
+    may = lambda a, b: comp[a] != comp[b] and (minor[a] or minor[b]) and not (guest[a] and guest[b])
+    assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if may(a, b) and near(a, b)} and len(got) > 50
+
+
+def test_bands_and_sketches_at_the_limit():
+    """Sets of similarity just above 0.8: all share a band, and their sketches stay within FAR."""
+    rng, found, most = np.random.default_rng(4), 0, 0
+    for _ in range(300):
+        a = rng.integers(-(1 << 62), 1 << 62, 360)
+        x, y = np.sort(a[:324]), np.sort(a[36:])  # 288 of 360 shared
+        found += bool((simhash.band_keys(x) == simhash.band_keys(y)).any())
+        most = max(most, int(np.bitwise_count(np.frombuffer(simhash.sketch(x), np.uint64) ^ np.frombuffer(simhash.sketch(y), np.uint64)).sum()))
+    assert found == 300 and most <= simhash.FAR
 
 
 def test_repeated_and_null_ids_are_told_apart_by_text(spark):
