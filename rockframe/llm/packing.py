@@ -1,13 +1,14 @@
 """Harmonic packing of token sequences.
 
 Harmonic packing sorts lengths in classes of reciprocal capacity: a piece of
-class k is at most capacity / k long, and a bin of that class takes exactly k
-pieces, so bins are filled by counting alone, class by class, on any number of
-workers. Documents may be cut here, so each is cut to lengths that meet their
-class exactly: as many whole bins (k = 1) as it fills, then the binary digits
-of the rest, one piece of capacity / k for k = 2, 4, 8 and so on. Bins of k
-such pieces have no padding. What a class has left over (fewer than k pieces)
-makes bins of 1, 2, 4 ... pieces; their lengths are powers of two.
+class k is longer than capacity / (k + 1) and at most capacity / k long, and a
+bin of that class takes exactly k pieces, so bins are filled by counting alone,
+class by class, on any number of workers. All k from 1 to the capacity are
+classes. Documents may be cut, so a length that would leave more than ``SLACK``
+unused places in the bins of its class is cut, into as few pieces as meet that
+bound (mostly two); whole capacities are cut off first. What a class has left
+over (fewer than k pieces) is bounded whatever the corpus, and is packed by
+best fit in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from rockframe.llm.ranks import ranked
 from rockframe.runtime import bounded_batches, materialize
 
 CAPACITY, END_ID, BUCKET_ROWS = 1024, 0, 4096
+#: Share of a bin, as 1 / SLACK, that pieces of one class may leave unused.
+SLACK = 50
 #: Encoded units kept per worker; the memory of the cache is bounded by it.
 CACHE_UNITS = 400_000
 
@@ -92,16 +98,37 @@ def load_encoder(path: str):
     return encode
 
 
+@lru_cache(maxsize=4)
+def _plan(capacity: int, slack: int = SLACK) -> tuple[tuple[int, ...], ...]:
+    """Pieces, largest first, of each length below ``capacity``: the fewest that waste little, of those the least waste."""
+    waste = [0.0] * (capacity + 1)
+    fit = []
+    for n in range(1, capacity + 1):
+        k = capacity // n
+        waste[n] = (capacity - k * n) / k
+        if (capacity - k * n) * slack <= capacity:
+            fit.append(n)
+    best: list[tuple[int, float, int]] = [(0, 0.0, 0)]  # pieces, waste, the largest piece
+    for r in range(1, capacity):
+        best.append(min((best[r - n][0] + 1, best[r - n][1] + waste[n], -n) for n in fit if n <= r))
+    out = []
+    for r in range(capacity):
+        parts = []
+        while r:
+            parts.append(-best[r][2])
+            r += best[r][2]
+        out.append(tuple(sorted(parts, reverse=True)))
+    return tuple(out)
+
+
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: whole capacities, then the binary digits of the rest, largest first."""
+    """(start, length) of the pieces of a document: whole capacities, then those of the rest."""
     full, rest = divmod(length, capacity)
     out = [(i * capacity, capacity) for i in range(full)]
-    at, size = full * capacity, capacity // 2
-    while rest:
-        if rest >= size:
-            out.append((at, size))
-            at, rest = at + size, rest - size
-        size //= 2
+    at = full * capacity
+    for n in _plan(capacity)[rest]:
+        out.append((at, n))
+        at += n
     return out
 
 
@@ -110,52 +137,84 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     One pass over the text, no shuffle; a piece's checksum needs no other row.
     """
-    name = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer)
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, t in enumerate(b.column(1)):
                 ids = encode(t.as_py() or "") + end
                 n = len(ids) // 4
                 rows += [(i, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            at, *cols = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *cols], names=PIECE)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, name)
+    return src.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+
+
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
+    """A bin for each length (given in descending order): the fullest that still has room."""
+    room: dict[int, list[int]] = {}
+    out, bins = [], 0
+    for n in lengths:
+        left = next((r for r in range(n, capacity) if room.get(r)), None)
+        if left is None:
+            left, b, bins = capacity, bins, bins + 1
+        else:
+            b = room[left].pop()
+        room.setdefault(left - n, []).append(b)
+        out.append(b)
+    return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to pieces whose lengths are powers of two up to ``capacity`` (a power of two).
+    """The columns of ``token_pieces`` with sequence_id and offset, for pieces of up to ``capacity``; other columns are left out.
 
-    A piece's place follows from its rank in its class: the number of pieces in
-    lower buckets (a hash of the document) plus its rank in its own, so buckets
-    are filled independently and only counts meet. The leftover of a class of
-    N = q k + m pieces is cut by the binary digits of m.
+    A piece's bin follows from its rank in its class: the pieces in lower
+    buckets (a hash of the piece) plus its rank in its own, so buckets are
+    filled independently and only counts meet. At most k - 1 pieces of class k
+    are left over; they are packed together after all full bins.
     """
-    pieces = materialize(pieces)
-    n = pieces.count()
-    buckets = 1 << max(4, min(30, (n // bucket_rows).bit_length()))
-    rows = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    counts = materialize(rows.groupBy("length", "b").agg(F.count(F.lit(1)).alias("c")))
-    before = Window.partitionBy("length").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    k = F.expr(f"{capacity} div length")
-    classes = counts.groupBy("length").agg(F.sum("c").alias("of")).withColumn("k", k).withColumn("left", F.col("of") % F.col("k"))
-    classes = classes.withColumn("bins", F.expr("of div k + bit_count(left)"))
-    base = Window.partitionBy(F.lit(0)).orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # one row per class: log2(capacity) + 1 rows
-    classes = classes.withColumn("base", F.coalesce(F.sum("bins").over(base), F.lit(0))).drop("bins")
-    inside = Window.partitionBy("length", "b").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")
-    rows = rows.withColumn("r", F.row_number().over(inside) - 1).join(places, ["length", "b"]).join(F.broadcast(classes), "length")
-    rows = rows.withColumn("r", F.col("r") + F.col("before")).withColumn("full", F.expr("of div k")).withColumn("p", F.expr("r - full * k"))
-    # In the leftover, the digit that holds p is the highest in which p differs from the leftover's size.
-    rows = rows.withColumn("digit", F.expr("CASE WHEN p >= 0 THEN length(bin(p ^ left)) - 1 END").cast("int"))
-    seq = "CASE WHEN p < 0 THEN base + r div k ELSE base + full + bit_count(shiftright(left, digit + 1)) END"
-    off = "CASE WHEN p < 0 THEN (r % k) * length ELSE (p - shiftleft(shiftright(left, digit + 1), digit + 1)) * length END"
-    out = rows.withColumn("sequence_id", F.expr(seq).cast("bigint")).withColumn("offset", F.expr(off).cast("bigint"))
-    return out.select(*pieces.columns, "sequence_id", "offset")
+    pieces = materialize(pieces.select(*PIECE))
+    spark = pieces.sparkSession
+    rows = pieces.withColumn("k", F.expr(f"cast({capacity} div length AS int)"))
+    counts = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class: capacity at most
+    buckets = 1 << max(4, min(30, (sum(counts.values()) // bucket_rows).bit_length()))
+    base, classes = 0, []
+    for k in sorted(counts):
+        classes.append((k, counts[k] // k, base))
+        base += counts[k] // k
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(*PIECE), F.lit(buckets)))
+    rows = ranked(rows, ["k"], "b", PIECE, "r").join(F.broadcast(spark.createDataFrame(classes, "k int, full bigint, base bigint")), "k")
+    rows = materialize(rows.withColumn("sequence_id", F.expr("CASE WHEN r < full * k THEN base + r div k END")).select(*PIECE, "r", "sequence_id"))
+    before = Window.partitionBy("sequence_id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")
+    filled = rows.where("sequence_id IS NOT NULL").withColumn("offset", offset).select(*PIECE, "sequence_id", "offset")
+
+    def leftover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in PIECE], strict=True)]
+        found.sort(key=lambda r: (-r[2], r[0] is None, r[0] if r[0] is not None else 0, *r[1:]))
+        at: Counter = Counter()
+        out = []
+        for r, b in zip(found, best_fit([r[2] for r in found], capacity), strict=True):
+            out.append((*r, base + b, at[b]))
+            at[b] += r[2]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    id_type = pieces.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), *[(c, pa.int64()) for c in [*PIECE[1:], "sequence_id", "offset"]]])
+    ends = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{c} bigint" for c in [*PIECE[1:], "sequence_id", "offset"])
+    # Fewer than the sum of all k that occur: a bound of the capacity alone.
+    rest = rows.where("sequence_id IS NULL").select(*PIECE).coalesce(1).mapInArrow(leftover, ends)
+    return filled.unionByName(rest)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -13,24 +13,16 @@ ranked by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rockframe.llm.ranks import ranked
 from rockframe.runtime import materialize
 
 SHARDS, SEED, BUCKET_ROWS = 40, 7, 256
 LAW = "rows"
 
 
-def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], rank: str) -> DataFrame:
-    """Adds the 0-based rank within ``keys`` by (bucket, order); no task holds more than a bucket."""
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    return df.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, bucket]).withColumn(rank, F.col("_before") + F.col("_in") - 1).drop("_in", "_before")
-
-
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: (id, size, text_crc32, law, shard, slot, grown_shard).
 
@@ -50,11 +42,11 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cells = 1 << max(4, min(30, (n // BUCKET_ROWS).bit_length()))
     bits = cells.bit_length() - 1
     rows = base.withColumn("hb", F.shiftrightunsigned("h", 64 - bits))
-    rows = _ranked(rows, ["stratum"], "hb", ["h", "id", "crc", "size"], "rank")
+    rows = ranked(rows, ["stratum"], "hb", ["h", "id", "crc", "size"], "rank")
     strata = base.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
     rows = rows.join(strata, "stratum").withColumn("at", (F.col("rank") + 0.5) / F.col("of"))
     rows = rows.withColumn("cell", F.least(F.floor(F.col("at") * cells), F.lit(cells - 1))).withColumn("tie", F.xxhash64("stratum", "rank"))
-    rows = _ranked(rows, [], "cell", ["at", "tie", "id", "crc", "size"], "g")
+    rows = ranked(rows, [], "cell", ["at", "tie", "id", "crc", "size"], "g")
     shard = F.expr(f"g * {shards} div {max(n, 1)}")
     return rows.withColumn("shard", shard.cast("int")).select(
         "id",
@@ -68,7 +60,8 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def write_shards(docs: DataFrame, path: str, **columns: str) -> None:
-    """Writes ``docs`` under ``path``, one folder per shard, in slot order. Ids must be unique here."""
+    """Writes ``docs`` under ``path``, one folder per shard, in slot order. Ids must be unique here; the columns shard and slot are the plan's."""
     id_col = columns.get("id_col", "doc_id")
     plan = assign_shards(docs, **columns).select(F.col("id").alias(id_col), "shard", "slot")
-    docs.join(plan, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    clash = [c for c in ("shard", "slot") if c in docs.columns and c != id_col]
+    docs.drop(*clash).join(plan, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
