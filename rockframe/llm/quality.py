@@ -1,16 +1,23 @@
 """Quality rules: fixed limits, and robust multivariate outliers per language and source.
 
 Each document has a vector of transformed statistics. For each group (language
-and source; where that has too few documents its language, else all) a
-minimum-covariance-determinant estimate is found by concentration steps over
-all its documents: from robust starting values, distances of all documents are
-taken, and the mean and covariance of the nearest ``CORE`` share are the next
-estimate. Documents whose Mahalanobis distance passes the limit are rejected.
-
-A step sorts nothing and gathers no group: distances fall in bins of a quarter
-octave, moments are summed per group and bin before any shuffle (one small row
-per group, bin and task), and the core is the bins up to the one in which the
-share is reached. The estimate reads one row per bin of a group.
+and source, language, all) the minimum-covariance-determinant estimate is
+found by concentration: under an estimate the distances of all the group's
+documents are taken, and the mean and covariance of the nearest ``CORE`` share
+are the next estimate, whose determinant is never larger. That is done from
+four deterministic starts (quartiles; mean and covariance; signs; squashed
+values) until no determinant falls any more, and the start that ends with the
+least is kept. Every statistic is granted a small spread of its own
+(``FLOOR``), so a determinant is never zero. A group's estimate is then drawn
+towards its language's, and that towards the estimate of all, as if ``DRAW``
+documents of the wider group had been seen: groups of any size have an
+estimate, small ones mostly that of their language. Documents whose
+Mahalanobis distance passes the limit are rejected.
+
+A step sorts nothing and gathers no group: distances fall in bins of an eighth
+octave, moments are summed per group, start and bin before any shuffle, and
+the core is the bins up to the one in which the share is reached, of which it
+takes the fraction that is left. An estimate reads one row per bin.
 """
 
 from __future__ import annotations
@@ -30,16 +37,16 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_digits", "n_letters"]
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
-#: Share of a group's documents in the core; smallest group with an estimate of its own; concentration steps.
-CORE, MIN_GROUP, STEPS = 0.75, 200, 4
-#: Distances squared above this are outliers, and the spread that every statistic is granted.
+#: Share of a group's documents in the core; documents of the wider group that each estimate is drawn by; most concentration steps, and the fall of a determinant's logarithm that still counts.
+CORE, DRAW, STEPS, SETTLED = 0.75, 100.0, 12, 1e-3
+#: Distances squared above this are outliers (one in 60 000 of a normal distribution in six dimensions), and the spread that every statistic is granted.
 LIMIT = 32.0
 FEATURES = ["x_length", "x_symbols", "x_dup", "x_repeat", "x_upper", "x_digits"]
 FLOOR = [0.03, 0.02, 0.12, 0.12, 0.03, 0.1]
 #: Words' worth of the corpus' average that each document's rates are pulled by: few words tell little.
 PRIOR = 60.0
-LOW_BIN, HIGH_BIN = -40, 60
-#: Covariance of a normal core of three quarters in six dimensions, to full covariance.
+LOW_BIN, HIGH_BIN = -80, 160
+#: Covariance of a normal core of three quarters in six dimensions, to full covariance: 0.75 / P(chi2 of 8 < the 0.75 quantile of chi2 of 6).
 CONSISTENCY = 1.36
 
 _upper = re.compile("[A-ZÀ-ÖØ-Þ]").findall
@@ -125,74 +132,152 @@ def _distance() -> Column:
     return sum((F.col("prec")[k] * d[i] * d[j] for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
-def _estimate(mean: np.ndarray, cov: np.ndarray) -> dict:
-    cov = cov * CONSISTENCY + np.diag(np.square(FLOOR))
-    p = np.linalg.inv(cov)
-    return {"mu": mean.tolist(), "prec": [float(p[i, j] * (1 if i == j else 2)) for i, j in _PAIRS]}
+def _upper_of(m: np.ndarray) -> list[float]:
+    return [float(m[i, j]) for i, j in _PAIRS]
 
 
-def _models(estimate):
-    """A task over groups: one row (g, values) per group to one row of its model."""
+def _full(upper: list[float]) -> np.ndarray:
+    m = np.zeros((len(FEATURES), len(FEATURES)))
+    for (i, j), v in zip(_PAIRS, upper, strict=True):
+        m[i, j] = m[j, i] = v
+    return m
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [estimate(v) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m["mu"] for m in got], pa.list_(pa.float64())), pa.array([m["prec"] for m in got], pa.list_(pa.float64()))], names=["g", "mu", "prec"])
 
-    return run
+def _moments(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of sums [n, sums, sums of products]; rounding may leave tiny negative spreads, which go."""
+    f = len(FEATURES)
+    mean = s[1 : f + 1] / s[0]
+    values, vectors = np.linalg.eigh(_full(s[f + 1 :]) / s[0] - np.outer(mean, mean))
+    return mean, (vectors * np.maximum(values, 0)) @ vectors.T
 
 
-def _from_bins(bins: list[list[float]]) -> dict:
-    """A group's next estimate from its sums per distance bin: [bin, n, sums, sums of products]."""
+def _granted(cov: np.ndarray) -> np.ndarray:
+    return cov * CONSISTENCY + np.diag(np.square(FLOOR))
+
+
+def estimate(n: float, mean: np.ndarray, cov: np.ndarray) -> dict:
+    """A row of a model; ``cov`` is a full covariance with its granted spread."""
+    p = np.linalg.inv(cov)
+    prec = [float(p[i, j] * (1 if i == j else 2)) for i, j in _PAIRS]
+    return {"n": float(n), "mu": mean.tolist(), "cov": _upper_of(cov), "prec": prec, "logdet": float(np.linalg.slogdet(cov)[1])}
+
+
+def from_bins(bins: list[list[float]]) -> dict:
+    """The next estimate from a group's sums per distance bin: [bin, n, sums, sums of products]. The last bin of the core counts in part."""
     rows = np.array(sorted(bins))
-    n, f = rows[:, 1], len(FEATURES)
-    upto = int(np.searchsorted(n.cumsum(), CORE * n.sum()))
-    s = rows[: upto + 1, 1:].sum(0)
-    mean, cov = s[1 : f + 1] / s[0], np.zeros((f, f))
-    for (i, j), q in zip(_PAIRS, s[f + 1 :], strict=True):
-        cov[i, j] = cov[j, i] = q / s[0] - mean[i] * mean[j]
-    values, vectors = np.linalg.eigh(cov)  # rounding may leave tiny negatives
-    return _estimate(mean, (vectors * np.maximum(values, 0)) @ vectors.T)
+    n = rows[:, 1]
+    share = np.clip((max(1.0, CORE * n.sum()) - (n.cumsum() - n)) / n, 0, 1)
+    mean, cov = _moments((rows[:, 1:] * share[:, None]).sum(0))
+    return estimate(n.sum(), mean, _granted(cov))
+
+
+def starts(values: list[list[float]]) -> list[dict]:
+    """Four estimates of a group from its quartiles, moments, and the moments of its signs and squashed values."""
+    quartiles, raw, signs, squashed = (np.array(v, float) for v in values)
+    q = quartiles.reshape(len(FEATURES), 3)
+    mid, scale = q[:, 1], np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR)
+    out = [estimate(raw[0], mid, _granted(np.diag(scale**2))), estimate(raw[0], *(lambda m, c: (m, _granted(c)))(*_moments(raw)))]
+    for s in (signs, squashed):
+        cov = _moments(s)[1]
+        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        out.append(estimate(raw[0], mid, _granted(cov / np.outer(spread, spread) * np.outer(scale, scale))))
+    return out
+
 
+def _rows_of(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*found, strict=True)) if found else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-def _first(quartiles: list[list[float]]) -> dict:
-    q = np.array(quartiles)
-    return _estimate(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
 
+_NUMBERS = pa.list_(pa.float64())
+_MODEL_ARROW = pa.schema([("g", pa.int64()), ("s", pa.int32()), ("n", pa.float64()), ("mu", _NUMBERS), ("cov", _NUMBERS), ("prec", _NUMBERS), ("logdet", pa.float64())])
+MODEL = "g bigint, s int, n double, mu array<double>, cov array<double>, prec array<double>, logdet double"
 
-MODEL = "g bigint, mu array<double>, prec array<double>"
+
+def _started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(g, i, *e.values()) for g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, e in enumerate(starts(v))]
+        yield _rows_of(found, _MODEL_ARROW)
+
+
+def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        g, s, bins = (c.to_pylist() for c in b.columns)
+        yield _rows_of([(x, y, *from_bins(v).values()) for x, y, v in zip(g, s, bins, strict=True)], _MODEL_ARROW)
+
+
+def drawn(own: dict, wider: dict, draw: float = DRAW) -> dict:
+    """An estimate drawn towards that of a wider group: moments of n documents of the one and ``draw`` of the other."""
+    n = own["n"]
+    a, b = n / (n + draw), draw / (n + draw)
+    mu, far = np.array(own["mu"]) * a + np.array(wider["mu"]) * b, np.array(own["mu"]) - np.array(wider["mu"])
+    return estimate(n, mu, _full(own["cov"]) * a + _full(wider["cov"]) * b + a * b * np.outer(far, far))
+
+
+def _drawn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fine, own, language, all) to the final estimate of each group of language and source; parts without an estimate are null."""
+    schema = pa.schema([("fine", pa.int64()), ("mu", _NUMBERS), ("prec", _NUMBERS)])
+    for b in batches:
+        found = []
+        for g, own, lang, every in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            best = every
+            for e in (lang, own):
+                best = e if best is None else best if e is None else drawn(e, best)
+            found.append((g, best and best["mu"], best and best["prec"]))
+        yield _rows_of(found, schema)
 
 
 def _fine(lang: str, source: str) -> Column:
     return F.xxhash64(F.lit(1), F.col(lang), F.col(source))
 
 
-def grouped(stats: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds fine and coarse (keys of language and source, and of language) and g: the finest of both and 0 (all) with enough documents; nulls are values of their own."""
-    fine, coarse = _fine(lang, source), F.xxhash64(F.lit(2), F.col(lang))
-    fit = stats.where(~base_failed())
-    n_fine = fit.groupBy(fine.alias("fine")).agg(F.count(F.lit(1)).alias("n1"))
-    n_coarse = fit.groupBy(coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n2"))
-    rows = stats.withColumn("fine", fine).withColumn("coarse", coarse).join(n_fine, "fine", "left").join(n_coarse, "coarse", "left")
-    return rows.withColumn("g", F.when(F.col("n1") >= min_group, F.col("fine")).when(F.col("n2") >= min_group, F.col("coarse")).otherwise(F.lit(0).cast("bigint"))).drop("n1", "n2")
+def _coarse(lang: str) -> Column:
+    return F.xxhash64(F.lit(2), F.col(lang))
+
 
+def fit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str], steps: int = STEPS) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(rows, models, rates): counts and features of each row with its group (fine), written without text; one estimate per group.
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str], min_group: int, steps: int) -> tuple[DataFrame, DataFrame, dict[str, float]]:
-    """(rows, models, rates): counts and features of each row with its group g, written without text; one estimate per group."""
+    Nulls of language and source are values of their own.
+    """
     stats = materialize(with_counts(docs, text_col, [*keep, lang_col, source_col]))
     lang, source = f"k{len(keep)}", f"k{len(keep) + 1}"
     rates = corpus_rates(stats)
-    rows = materialize(grouped(features(stats, rates), lang, source, min_group))
-    # A language's estimate takes all its documents, also those of sources with one of their own, and that of 0 takes all.
+    rows = materialize(features(stats, rates).withColumn("fine", _fine(lang, source)).withColumn("coarse", _coarse(lang)))
     good = rows.where(~base_failed()).select(*FEATURES, F.explode(F.array("fine", "coarse", F.lit(0).cast("bigint"))).alias("g"))
-    start = good.join(rows.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES]).alias("values"))
-    model = materialize(start.mapInArrow(_models(_first), MODEL))
-    sums = [F.count(F.lit(1)).cast("double"), *[F.sum(x) for x in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS]]
+
+    def sums(cols: list[Column]) -> list[Column]:
+        return [F.count(F.lit(1)).cast("double"), *[F.sum(c) for c in cols], *[F.sum(cols[i] * cols[j]) for i, j in _PAIRS]]
+
+    quartiles = materialize(good.groupBy("g").agg(F.flatten(F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in FEATURES])).alias("q")))
+    z = [(F.col(x) - F.col("q")[3 * i + 1]) / F.greatest((F.col("q")[3 * i + 2] - F.col("q")[3 * i]) / 1.349, F.lit(FLOOR[i])) for i, x in enumerate(FEATURES)]
+    size = F.sqrt(sum((c * c for c in z), F.lit(1e-9)))
+    wide = good.join(quartiles, "g").select("g", "q", *FEATURES, *[c.alias(f"z{i}") for i, c in enumerate(z)], size.alias("zs"))
+    at = [F.col(f"z{i}") for i in range(len(FEATURES))]
+    parts = [sums([F.col(x) for x in FEATURES]), sums([c / F.col("zs") for c in at]), sums([F.tanh(c) for c in at])]
+    begun = wide.groupBy("g", "q").agg(*[F.array(*p).alias(f"m{i}") for i, p in enumerate(parts)])
+    model = materialize(begun.select("g", F.array("q", "m0", "m1", "m2").alias("values")).mapInArrow(_started, MODEL))
+    moving = model
     for _ in range(steps):
-        far = good.join(model, "g").withColumn("bin", F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(4 * F.log2(_distance() + 1e-6)))).cast("int"))
-        bins = far.groupBy("g", "bin").agg(F.array(F.col("bin").cast("double"), *sums).alias("row"))
-        model = materialize(bins.groupBy("g").agg(F.collect_list("row").alias("values")).mapInArrow(_models(_from_bins), MODEL))
-    return rows, model, rates
+        near = moving.select("g", "s", "mu", "prec")
+        far = good.join(near, "g").withColumn("bin", F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(8 * F.log2(_distance() + 1e-9)))).cast("int"))
+        bins = far.groupBy("g", "s", "bin").agg(F.array(F.col("bin").cast("double"), *sums([F.col(x) for x in FEATURES])).alias("row"))
+        after = materialize(bins.groupBy("g", "s").agg(F.collect_list("row").alias("values")).mapInArrow(_stepped, MODEL))
+        # The first step goes from a start to a core; from then on a determinant that does not fall is settled.
+        fell = after.join(moving.select("g", "s", F.col("logdet").alias("was")), ["g", "s"])
+        if moving is model:
+            best, moving = after, after
+        else:
+            best = materialize(best.union(after).groupBy("g", "s").agg(F.min_by(F.struct(*[c for c in after.columns if c not in ("g", "s")]), "logdet").alias("x")).select("g", "s", "x.*"))
+            moving = materialize(fell.where(F.col("was") - F.col("logdet") > SETTLED).drop("was"))
+            if not moving.limit(1).count():
+                break
+    least = best.groupBy("g").agg(F.min_by(F.struct("n", "mu", "cov"), F.struct("logdet", "s")).alias("e"))
+    least = materialize(least)
+    groups = rows.select("fine", "coarse").distinct()
+    of = lambda name: least.select(F.col("g").alias(name), F.col("e").alias(f"{name}_e"))
+    joined = groups.join(of("fine"), "fine", "left").join(of("coarse"), "coarse", "left").join(of("every"), F.col("every") == 0, "left")
+    return rows, materialize(joined.select("fine", "fine_e", "coarse_e", "every_e").mapInArrow(_drawn_rows, "fine bigint, mu array<double>, prec array<double>")), rates
 
 
 def _verdicts(rows: DataFrame, limit: float) -> DataFrame:
@@ -201,29 +286,28 @@ def _verdicts(rows: DataFrame, limit: float) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, limit: float = LIMIT, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, limit: float = LIMIT, steps: int = STEPS) -> DataFrame:
     """``keep`` (as k0, k1 ...), counts, distance, base_failed and kept, one row per row of ``docs``.
 
-    Documents that fail the fixed limits take no part in an estimate. A group's
-    estimate exists wherever a document needs one, and takes all documents of
-    the group: a language's those of all its sources, the last all there are. A
-    document without any comparable one is kept.
+    Documents that fail the fixed limits take no part in an estimate. Null and
+    empty texts, and those of white space alone, have no word and fail them;
+    very long texts are counted whole. Where no document passes the fixed
+    limits there is no estimate, and nothing else is rejected.
     """
     keep = keep or []
-    rows, model, _ = fit(docs, text_col, lang_col, source_col, keep, min_group, steps)
-    out = _verdicts(rows.join(model, "g", "left"), limit)
+    rows, model, _ = fit(docs, text_col, lang_col, source_col, keep, steps)
+    out = _verdicts(rows.join(model, "fine", "left"), limit)
     return out.select(*[f"k{i}" for i in range(len(keep))], *BASE, *FEATURES, "distance", "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, steps: int = STEPS) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
     Estimates are fitted from counts alone; a second pass over the texts counts
     again and meets the estimates on the group, so no text is shuffled and none
     comes back from a Python worker.
     """
-    rows, model, rates = fit(docs, text_col, lang_col, source_col, [], min_group, steps)
-    groups = materialize(rows.select("fine", "g").distinct().join(model, "g", "left").select("fine", "mu", "prec"))
+    rows, groups, rates = fit(docs, text_col, lang_col, source_col, [], steps)
     own = docs.columns
     kind = "struct<" + ", ".join(f"{c}:bigint" for c in BASE + MORE) + ">"
 

@@ -270,17 +270,65 @@ def test_rare_sources_meet_their_whole_language(spark):
     assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
 
 
+def one_step(x, model):
+    d = x - np.array(model["mu"])
+    far = sum(p * d[:, i] * d[:, j] for p, (i, j) in zip(model["prec"], quality._PAIRS, strict=True))
+    bins = np.clip(np.floor(8 * np.log2(far + 1e-9)), quality.LOW_BIN, quality.HIGH_BIN)
+    return quality.from_bins([[b, len(p), *p.sum(0), *[(p[:, i] * p[:, j]).sum() for i, j in quality._PAIRS]] for b in np.unique(bins) for p in [x[bins == b]]])
+
+
+def moments(x):
+    return [len(x), *x.sum(0), *[(x[:, i] * x[:, j]).sum() for i, j in quality._PAIRS]]
+
+
 def test_estimate_ignores_a_quarter_of_junk():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 1, (3000, 6)), rng.normal(12, 1, (700, 6))])
-    model = quality._first([np.percentile(c, [25, 50, 75]).tolist() for c in x.T])
-    for _ in range(4):
-        d = x - np.array(model["mu"])
-        far = sum(p * d[:, i] * d[:, j] for p, (i, j) in zip(model["prec"], quality._PAIRS, strict=True))
-        bins = np.clip(np.floor(4 * np.log2(far + 1e-6)), quality.LOW_BIN, quality.HIGH_BIN)
-        rows = [[b, len(p), *p.sum(0), *[(p[:, i] * p[:, j]).sum() for i, j in quality._PAIRS]] for b in np.unique(bins) for p in [x[bins == b]]]
-        model = quality._from_bins(rows)
-    assert np.abs(model["mu"]).max() < 0.3
+    q = np.percentile(x, [25, 50, 75], axis=0).T
+    z = (x - q[:, 1]) / ((q[:, 2] - q[:, 0]) / 1.349)
+    for model in quality.starts([q.ravel().tolist(), moments(x), moments(z / np.sqrt((z * z).sum(1) + 1e-9)[:, None]), moments(np.tanh(z))]):
+        for _ in range(12):
+            before, model = model, one_step(x, model)
+        assert model["logdet"] <= before["logdet"] + 1e-3
+        assert np.abs(model["mu"]).max() < 0.3
+
+
+def brute_mcd(x, rng):
+    """The least determinant from many random subsets, each concentrated with exact cores."""
+    h, best = max(1, round(quality.CORE * len(x))), None
+    for _ in range(60):
+        core = x[rng.choice(len(x), min(len(x), 8), replace=False)]
+        for _ in range(30):
+            cov = quality._granted(np.cov(core.T, bias=True) if len(core) > 1 else np.zeros((6, 6)))
+            d = x - core.mean(0)
+            core = x[np.argsort((d @ np.linalg.inv(cov) * d).sum(1), kind="stable")[:h]]
+        e = quality.estimate(len(x), core.mean(0), quality._granted(np.cov(core.T, bias=True) if len(core) > 1 else np.zeros((6, 6))))
+        best = e if best is None or e["logdet"] < best["logdet"] else best
+    return best
+
+
+def test_verdicts_against_least_determinants_of_random_starts(spark):
+    """Groups of 30, 200 and 3000 documents; a tenth of the large one is junk of its own kind."""
+    rng, rows = np.random.default_rng(6), []
+    for lang, source, n in (("en", "a", 3000), ("en", "b", 200), ("de", "c", 30), ("de", None, 1)):
+        for _ in range(n):
+            words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(int(rng.integers(25, 60)))]
+            odd = rng.random()
+            words = [w.upper() if odd < 0.06 else "#" + w if odd < 0.1 else w.title() if rng.random() < 0.1 else w for w in words]
+            rows.append((len(rows), " ".join(words), lang, source))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), keep=["doc_id", "lang", "source"]).toPandas()
+    good = got[~got["base_failed"]].fillna({"k2": "-"})
+    x = lambda part: part[quality.FEATURES].to_numpy()
+    every = brute_mcd(x(good), rng)
+    for (lang, source), part in good.groupby(["k1", "k2"]):
+        own, wider = brute_mcd(x(part), rng), quality.drawn(brute_mcd(x(good[good["k1"] == lang]), rng), every)
+        e = quality.drawn(own, wider)
+        d = x(part) - np.array(e["mu"])
+        far = (d @ np.linalg.inv(quality._full(e["cov"])) * d).sum(1)
+        assert ((far <= quality.LIMIT) == part["kept"]).mean() > 0.99
+        assert np.median(np.abs(far - part["distance"]) / (far + 1)) < 0.1
+    junk = good[[t.isupper() or t.startswith("#") for t in (rows[i][1] for i in good["k0"])]]
+    assert len(junk) > 200 and not junk["kept"].any() and good.drop(junk.index)["kept"].mean() > 0.99
 
 
 # --- 4 and 9: classifiers
