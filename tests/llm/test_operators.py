@@ -344,17 +344,60 @@ def test_toxicity_held_out(spark, sf_dir):
 
 
 def test_marginals_by_all_paths():
-    f = toxicity.Field({})
-    f.t = np.array([[0.3, -0.5], [-0.2, 0.9]])
-    words = ["a", "bb", "ccc", "dddd", "e"]
-    f.cache = dict(zip(words, [0.2, -1.0, 1.5, 0.1, -0.4], strict=True))
-    total, hot = 0.0, np.zeros(5)
+    """Scores with neighbours, marginals and the chance of an all clean text, against all labellings."""
+    f, rng = toxicity.Field(), np.random.default_rng(1)
+    f.t, f.bias = np.array([[0.3, -0.5], [-0.2, 0.9]]), -0.3
+    f.w = rng.normal(0, 0.7, len(f.w))
+    words = ["a", "bb", "ccc", "a", "e"]
+    own = lambda w: sum(f.w[i] for i in toxicity.slots_of(w)[:3]) + f.bias
+    e = [own(w) + sum(f.w[toxicity.slots_of(v)[3]] for v in words[i - 1 : i] if i) + sum(f.w[toxicity.slots_of(v)[4]] for v in words[i + 1 : i + 2]) for i, w in enumerate(words)]
+    assert np.allclose(f.scores([words]), e)
+    total, clean, hot = 0.0, 0.0, np.zeros(5)
     for path in range(32):
         y = [path >> i & 1 for i in range(5)]
-        p = math.exp(sum(f.cache[w] for w, b in zip(words, y, strict=True) if b) + sum(f.t[a, b] for a, b in zip(y, y[1:], strict=False)))
-        total, hot = total + p, hot + p * np.array(y)
+        p = math.exp(sum(x for x, k in zip(e, y, strict=True) if k) + sum(f.t[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total, hot, clean = total + p, hot + p * np.array(y), clean + p * (path == 0)
     got = f.marginals([words[:2], words, []])
     assert np.allclose(got[1], hot / total) and len(got[0]) == 2 and len(got[2]) == 0
+    chance = f.sweep(f.scores([words[:2], words, []]), np.array([2, 5, 0]))[3]
+    assert np.allclose(np.exp(chance[1:]), [clean / total, 1])
+
+
+def test_latent_labels_are_found_from_documents():
+    """Toxic texts hold one of two words or a pair that is harmless apart; nothing says which tokens they are."""
+    rng = np.random.default_rng(2)
+    filler = [f"word{i}" for i in range(200)]
+    texts, toxic = [], []
+    for k in range(600):
+        t = list(rng.choice(filler, 40))
+        at = int(rng.integers(1, 38))
+        if k % 3 == 0:
+            t[at : at + 2] = [["vile", t[at]], ["foul", t[at]], ["go", "away"]][k // 3 % 3]
+        else:
+            t[at] = ["go", "away"][k % 2]
+        texts.append(t)
+        toxic.append(int(k % 3 == 0))
+    f = toxicity.Field()
+    f.fit(texts, toxic)
+    found = [[t[i] for i in np.flatnonzero(m > 0.5)] for t, m in zip(texts, f.marginals(texts), strict=True)]
+    right = [set(x) <= {"vile", "foul", "go", "away"} and bool(x) == bool(y) for x, y in zip(found, toxic, strict=True)]
+    assert np.mean(right) > 0.95
+
+
+def test_spans_are_places_of_the_text_as_it_stands():
+    text = "İ İx vile and VILE stuff"
+    words = toxicity.tokens_of(text)
+    assert words[2:] == ["vile", "and", "vile", "stuff"]
+    got = toxicity.spans_of(text, np.array([0, 0, 0.9, 0.1, 0.9, 0.9]))
+    assert [text[x["start"] : x["end"]] for x in got] == ["vile", "VILE stuff"]
+
+
+def test_very_long_and_many_texts_are_scored_whole(spark):
+    f = toxicity.Field()
+    f.w[toxicity.slots_of("vile")[0]] = 12.0
+    rows = [(1, "calm " * 500_000 + "vile"), (2, None), (3, ""), (4, "vile"), (None, "calm"), (4, "vile")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), f).toPandas()
+    assert sorted(len(x) for x in got["spans"]) == [0, 0, 0, 1, 1, 1] and got[got["id"] == 1]["spans"].iloc[0][0]["start"] == 2_500_000
 
 
 def test_languages_held_out(spark, sf_dir):
