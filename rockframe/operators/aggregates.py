@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rockframe.operators.tables import beside_one
+from rockframe.operators.tables import beside_one, running
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -79,6 +79,9 @@ def depth_histogram(df: DataFrame, depth: str, value: str, bins: int, weight: st
 def value_cdf(df: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by, value, n, cdf) over distinct values, ascending."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    if not by:  # all distinct values are one group
+        total = beside_one(running(counts, [value], {"_up": F.col("n")}), F.sum("n").alias("_all"))
+        return total.select(value, "n", (F.col("_up") / F.col("_all")).alias("cdf"))
     up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("cdf", F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(*by)))
 
@@ -95,9 +98,8 @@ def cdf_marker(cdf: DataFrame, value: str, q: float) -> DataFrame:
 def otsu(df: DataFrame, value: str) -> DataFrame:
     """(threshold, variance): the value that parts values <= it from the rest with the largest variance between."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct value
-    every = Window.partitionBy(F.lit(0))
-    sums = counts.select(value, F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col(value)).over(up).alias("s0"), F.sum("n").over(every).alias("w"), F.sum(F.col("n") * F.col(value)).over(every).alias("s"))
+    up = running(counts, [value], {"w0": F.col("n"), "s0": F.col("n") * F.col(value)})
+    sums = beside_one(up, F.sum("n").alias("w"), F.sum(F.col("n") * F.col(value)).alias("s"))
     w0, w1 = F.col("w0"), F.col("w") - F.col("w0")
     between = w0 * w1 * F.pow(F.col("s0") / w0 - (F.col("s") - F.col("s0")) / w1, 2) / (F.col("w") * F.col("w"))
     return sums.where(w1 > 0).select(F.col(value).alias("threshold"), between.alias("variance")).orderBy(F.desc(F.round("variance", 9)), "threshold").limit(1)
@@ -105,7 +107,7 @@ def otsu(df: DataFrame, value: str) -> DataFrame:
 
 def equalise(df: DataFrame, value: str, to: str = "equalised") -> DataFrame:
     """Values replaced by their cumulative share."""
-    return df.join(F.broadcast(value_cdf(df, value).select(value, F.col("cdf").alias(to))), value)
+    return df.join(value_cdf(df, value).select(value, F.col("cdf").alias(to)), value)
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rockframe.operators.aggregates import moments
+from rockframe.operators.tables import row_numbers
 
 
 def hull_2d(p: np.ndarray) -> np.ndarray:
@@ -126,9 +127,6 @@ def object_shapes_3d(grid: DataFrame, label: str = "label", spacing: tuple[float
 
 def report_order(report: DataFrame, min_feret: float = 0.0) -> DataFrame:
     """Rows with max_feret of at least the threshold, rounded to five digits, relabelled 1, 2 ... by falling size, diameter and label."""
-    from pyspark.sql import Window
-
     doubles = [f.name for f in report.schema if f.dataType.typeName() == "double"]
     kept = report.dropna().where(F.col("max_feret") >= min_feret).withColumns({c: F.round(c, 5) for c in doubles})
-    order = Window.orderBy(F.desc("voxelCount"), F.desc("max_feret"), F.desc("label"))  # one row per object
-    return kept.withColumn("new_label", F.row_number().over(order))
+    return row_numbers(kept, [F.desc("voxelCount"), F.desc("max_feret"), F.desc("label")], "new_label")

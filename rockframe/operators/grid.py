@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rockframe.operators.components import connected_components
+from rockframe.operators.tables import row_numbers
 
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -77,7 +78,7 @@ def sequential(grid: DataFrame, label: str = "label", by_size: bool = False) ->
     """Labels renumbered 1, 2 ... without gaps, by value or by falling count; 0 stays. Only distinct labels are ranked."""
     counts = grid.where(F.col(label) != 0).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     order = [F.desc("_n"), F.asc(label)] if by_size else [F.asc(label)]
-    codes = counts.withColumn("new_label", F.row_number().over(Window.orderBy(*order))).drop("_n")
+    codes = row_numbers(counts, order, "new_label").drop("_n")
     return grid.join(codes, label, "left").fillna(0, ["new_label"])
 
 

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rockframe.runtime import materialize
+
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, delta: float, by: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Pairs with |left - right| <= delta (both ends inclusive) and equal ``by``; ``how`` may be full, left or inner.
 
     Buckets are delta wide: a left row meets its bucket and the two beside it.
     Column names must differ but for ``by``. Both sides keep duplicates; rows
-    that pair with nothing are found by a row number, so equal rows are safe.
+    that pair with nothing are found by a row number, so equal rows are safe;
+    numbered sides are written first, since both uses must see one numbering.
     """
-    a = left.withColumn("_l", F.monotonically_increasing_id()) if how != "inner" else left
-    b = right.withColumn("_r", F.monotonically_increasing_id()) if how == "full" else right
+    a = materialize(left.withColumn("_l", F.monotonically_increasing_id())) if how != "inner" else left
+    b = materialize(right.withColumn("_r", F.monotonically_increasing_id())) if how == "full" else right
     cell = lambda c: F.floor(F.col(c) / delta)
     near = a.withColumn("_cell", F.explode(F.array(*[cell(left_on) + i for i in (-1, 0, 1)])))
     hit = near.join(b.withColumn("_cell", cell(right_on)), [*by, "_cell"]).where(F.abs(F.col(left_on) - F.col(right_on)) <= delta).drop("_cell")
@@ -34,9 +37,9 @@ def duplicate_marks(df: DataFrame, depth: str, key: str, angle: str, delta: floa
     A mark counts as paired if exactly one other lies within delta of it.
     """
     keys = ", ".join(f"`{b}`" for b in by)  # in SQL, since the API's ranges are whole numbers
-    near = f"collect_list(`{key}`) OVER (PARTITION BY {keys} ORDER BY cast(`{depth}` AS double) RANGE BETWEEN {delta}D PRECEDING AND {delta}D FOLLOWING)"
-    group = df.withColumn("_g", F.sort_array(F.expr(near)))
-    twins = group.where(F.size("_g") == 2)
+    near = f"OVER (PARTITION BY {keys} ORDER BY cast(`{depth}` AS double) RANGE BETWEEN {delta}D PRECEDING AND {delta}D FOLLOWING)"
+    group = df.withColumn("_c", F.expr(f"count(`{key}`) {near}")).withColumn("_g", F.struct(F.expr(f"min(`{key}`) {near}").alias("a"), F.expr(f"max(`{key}`) {near}").alias("b")))
+    twins = group.where("_c = 2")
     best = twins.groupBy(*by, "_g").agg(F.min_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(F.abs(F.col(angle) - target), F.col(key))).alias("b"), F.count(F.lit(1)).alias("n"))
     return best.where("n = 2").select(*by, "b.*")
 
@@ -45,15 +48,17 @@ def interpolate_at(curve: DataFrame, points: DataFrame, x: str, y: str, at: str,
     """``points`` with y of the curve at ``at``: linear between the neighbours on either side, of the same ``by``.
 
     Outside the curve: the end value if ``clamp``, else null. Curve points and
-    foreign points are sorted together once, so no pair of rows is formed.
+    foreign points are sorted together, upwards and downwards (a frame that grows
+    costs one step a row, one that shrinks is read again for each), so no pair of
+    rows is formed.
     """
     keys = list(by)
     extra = [c for c in points.columns if c not in (*keys, at)]
     a = curve.where(F.col(y).isNotNull()).groupBy(*keys, x).agg(F.avg(y).alias("_y")).select(*keys, F.col(x).cast("double").alias("_x"), "_y", F.lit(None).cast(points.select(F.struct(at, *extra).alias("p")).schema["p"].dataType).alias("_p"))
     b = points.select(*keys, F.col(at).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), F.struct(at, *extra).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy("_x")
+    w, down = Window.partitionBy(*keys).orderBy("_x"), Window.partitionBy(*keys).orderBy(F.desc("_x"))
     known = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
-    both = a.unionByName(b).withColumn("_lo", F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(known, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = a.unionByName(b).withColumn("_lo", F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.last(known, True).over(down.rangeBetween(Window.unboundedPreceding, 0)))
     lo, hi = F.col("_lo"), F.col("_hi")
     inside = F.when(lo["_x"] == hi["_x"], lo["_y"]).otherwise(lo["_y"] + (F.col("_x") - lo["_x"]) / (hi["_x"] - lo["_x"]) * (hi["_y"] - lo["_y"]))
     value = F.coalesce(inside, lo["_y"], hi["_y"]) if clamp else inside
@@ -74,7 +79,7 @@ def fill_linear(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -
     rows = Window.partitionBy(*by).orderBy(order)
     df = df.withColumn("_i", F.row_number().over(rows).cast("double"))
     known = F.when(F.col(value).isNotNull(), F.struct("_i", F.col(value).cast("double").alias("_v")))
-    df = df.withColumn("_lo", F.last(known, True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(known, True).over(rows.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_lo", F.last(known, True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.last(known, True).over(Window.partitionBy(*by).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)))
     lo, hi = F.col("_lo"), F.col("_hi")
     lerp = lo["_v"] + (F.col("_i") - lo["_i"]) / (hi["_i"] - lo["_i"]) * (hi["_v"] - lo["_v"])
     return df.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value).cast("double")).otherwise(F.coalesce(lerp, lo["_v"], hi["_v"]))).drop("_i", "_lo", "_hi")

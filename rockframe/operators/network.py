@@ -12,6 +12,7 @@ from rockframe.operators.components import connected_components
 from rockframe.operators.grid import contact_areas
 from rockframe.operators.joins import with_ends
 from rockframe.operators.porosity import face_flags
+from rockframe.operators.tables import row_numbers
 
 
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,7 +22,8 @@ def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def sub_network(pores: DataFrame, throats: DataFrame, keep: DataFrame, pore: str, ends: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """The pores in ``keep`` renumbered from 0 by id, and the throats between them with the new numbers."""
-    ids = pores.join(keep.select(pore), pore, "left_semi").select(pore).distinct().withColumn("new_id", F.row_number().over(Window.orderBy(pore)) - 1)
+    ids = pores.join(keep.select(pore), pore, "left_semi").select(pore).distinct()
+    ids = row_numbers(ids, [pore], "new_id").withColumn("new_id", F.col("new_id") - 1)
     own = pores.join(ids, pore)
     for i, e in enumerate(ends):
         throats = throats.join(ids.select(F.col(pore).alias(e), F.col("new_id").alias(f"new_{i}")), e)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rockframe.runtime import materialize
+
 
 @dataclass
 class Rule:
@@ -60,7 +62,7 @@ def default_filter(df: DataFrame, column: str) -> DataFrame:
 def first_seen_codes(df: DataFrame, value: str, order: str, to: str = "code") -> DataFrame:
     """Codes from 1 in the order in which values first occur. The ranking runs over distinct values alone."""
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
-    codes = first.withColumn(to, F.row_number().over(Window.orderBy("_first", value))).drop("_first")
+    codes = row_numbers(first, ["_first", value], to).drop("_first")
     return df.join(codes, value)
 
 
@@ -158,6 +160,27 @@ def global_row_number(df: DataFrame, order: str, cells: int = 256) -> DataFrame:
     return placed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_b").withColumn("row_number", F.col("_o") + F.col("_r")).drop("_b", "_o", "_r")
 
 
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums over all rows in ``order`` (own row included), for orders of any columns.
+
+    Rows are dealt by range and written, each part adds up its own, and the sums
+    of the parts (one row each) say where each begins. ``order`` must be unique.
+    """
+    cols = {to: c for to, c in sums.items()}
+    dealt = df.withColumns({f"_v_{to}": c for to, c in cols.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()))
+    own, parts = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_v_{to}").alias(f"_t_{to}") for to in cols])
+    begins = totals.select("_part", *[F.coalesce(F.sum(f"_t_{to}").over(parts), F.lit(0)).alias(f"_b_{to}") for to in cols])
+    both = dealt.join(F.broadcast(begins), "_part")  # a row per partition
+    return both.select(*df.columns, *[(F.col(f"_b_{to}") + F.sum(f"_v_{to}").over(own)).alias(to) for to in cols])
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column | str], to: str = "row_number") -> DataFrame:
+    """Adds numbers from 1 in ``order``, which must be unique."""
+    return running(df, order, {to: F.lit(1)}).withColumn(to, F.col(to).cast("int"))
+
+
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for the same keys and seed."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

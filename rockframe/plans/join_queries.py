@@ -39,10 +39,10 @@ def q28_duplicate_marks(read):
     return J.duplicate_marks(marks, "depth", "event_id", "azimuth", 3600.0, ["user_id"]).select("user_id", "event_id", "azimuth")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT l_suppkey, l_partkey, round(s_acctbal, 4) AS s_acctbal, round(p_retailprice, 4) AS p_retailprice FROM e JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""")
 def q29_edge_ends(read):
-    e = read("lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_suppkey", "l_partkey").distinct()
+    e = read("lineitem").select("l_suppkey", "l_partkey").distinct()
     s = read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
     p = read("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     return e.join(s, "l_suppkey").join(p, "l_partkey").select("l_suppkey", "l_partkey", *r4("s_acctbal", "p_retailprice"))
@@ -57,15 +57,15 @@ def q30_interpolate(read):
     return J.interpolate_at(curve, points, "depth", "value", "pos", ["user_id"]).where("value IS NOT NULL").select("user_id", "event_id", *r4("value"))
 
 
-@query(f"""WITH {WELL}, t AS (SELECT u AS user_id, d AS pos FROM (SELECT DISTINCT user_id AS u FROM well WHERE user_id < 20) CROSS JOIN (SELECT unnest(range(40)) * 43200.0 + (SELECT min(depth) FROM well) AS d)),
+@query(f"""WITH {WELL}, t AS (SELECT u AS user_id, d AS pos FROM (SELECT DISTINCT user_id AS u FROM well) CROSS JOIN (SELECT unnest(range((SELECT CAST(floor((max(depth) - min(depth)) / 43200) AS BIGINT) + 1 FROM well))) * 43200.0 + (SELECT min(depth) FROM well) AS d)),
 m AS (SELECT t.user_id, t.pos, avg(value) AS v FROM t LEFT JOIN well w ON w.user_id = t.user_id AND w.depth > t.pos - 21600 AND w.depth < t.pos + 21600 GROUP BY 1, 2),
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS i FROM m), k AS (SELECT * FROM i WHERE v IS NOT NULL),
 n AS (SELECT i.user_id, i.pos, i.i, i.v, a.i AS i0, a.v AS v0, b.i AS i1, b.v AS v1 FROM i ASOF LEFT JOIN k a ON i.user_id = a.user_id AND i.i >= a.i ASOF LEFT JOIN k b ON i.user_id = b.user_id AND i.i <= b.i)
 SELECT user_id, round(pos, 2) AS pos, round(CASE WHEN v IS NOT NULL THEN v WHEN i0 IS NULL THEN v1 WHEN i1 IS NULL THEN v0 ELSE v0 + (i - i0) / (i1 - i0) * (v1 - v0) END + 1e-7, 4) AS value FROM n""")
 def q31_interval_mean_and_fill(read):
-    w = well(read).where("user_id < 20").select("user_id", "depth", "value")
-    low = well(read).agg(F.min("depth").alias("lo"))
-    grid_ = w.select("user_id").distinct().crossJoin(F.broadcast(low)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("user_id", (F.col("i") * 43200.0 + F.col("lo")).alias("pos"))
+    w = well(read).select("user_id", "depth", "value")
+    low = well(read).agg(F.min("depth").alias("lo"), F.floor((F.max("depth") - F.min("depth")) / 43200).cast("int").alias("last"))
+    grid_ = w.select("user_id").distinct().crossJoin(F.broadcast(low)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last")))).select("user_id", (F.col("i") * 43200.0 + F.col("lo")).alias("pos"))
     means = J.interval_mean(w, grid_, "depth", "value", "pos", 43200.0, ["user_id"])
     return J.fill_linear(means, "value", "pos", ["user_id"]).select("user_id", F.round("pos", 2).alias("pos"), F.round(F.col("value") + 1e-7, 4).alias("value"))
 
@@ -130,11 +130,11 @@ def q42_kde(read):
     return W.kde(read("part"), "p_size", ["p_brand"], 200, 1.0, 50.0, 0.3).select("p_brand", "i", F.round("density", 6).alias("density"))
 
 
-@query(f"""WITH {WELL}, u AS (SELECT * FROM well WHERE user_id < 40), m AS (SELECT user_id, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS b, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS c FROM u),
+@query(f"""WITH {WELL}, u AS (SELECT * FROM well), m AS (SELECT user_id, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS b, avg(value) OVER (PARTITION BY user_id ORDER BY depth, event_id ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS c FROM u),
 s AS (SELECT user_id, unnest([2 * ln(2), 2 * ln(4), 2 * ln(8)]) AS x, unnest([ln(stddev_pop(a) + 1e-9), ln(stddev_pop(b) + 1e-9), ln(stddev_pop(c) + 1e-9)]) AS y FROM m GROUP BY user_id)
 SELECT user_id, round(-regr_slope(y, x), 4) AS index FROM s GROUP BY 1""")
 def q43_heterogeneity(read):
-    rows = well(read).where("user_id < 40").select("user_id", "value", F.struct("depth", "event_id").alias("at"))
+    rows = well(read).select("user_id", "value", F.struct("depth", "event_id").alias("at"))
     return W.heterogeneity(rows, "value", "at", ["user_id"], [2, 4, 8]).select("user_id", *r4("index"))
 
 

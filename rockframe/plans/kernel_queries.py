@@ -58,6 +58,6 @@ def q86_table_kmeans(read):
 
 @query()
 def q87_intrusion(read):
-    throats = read("lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"), (F.col("l_discount") * 100).alias("entry")).distinct()
+    throats = read("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"), (F.col("l_discount") * 100).alias("entry")).distinct()
     pores = throats.select(F.col("a").alias("pore")).union(throats.select("b")).distinct().select("pore", F.lit(1.0).alias("volume"), (F.col("pore") % 50 == 0).alias("inlet"))
     return M.intrusion(pores, throats, [2.0, 6.0, 10.0])

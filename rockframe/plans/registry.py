@@ -49,12 +49,11 @@ def well(read) -> DataFrame:
 
 def network(read) -> DataFrame:
     """Edges between suppliers and parts (as 2 s and 2 p + 1)."""
-    big = read("lineitem").where("l_quantity >= 50 AND l_discount >= 0.1")
-    return big.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    return read("lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
 GRID = "grid AS (SELECT l_orderkey AS z, l_linenumber AS x, min(l_suppkey) % 5 AS label, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 WELL = "well AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS depth, value FROM events)"
-NETWORK = "network AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)"
+NETWORK = "network AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem)"
 DAY = "date_diff('day', DATE '1970-01-01', CAST({} AS DATE))".format
 MONTH = "(year({0}) * 12 + month({0}))".format
