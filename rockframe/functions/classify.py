@@ -232,3 +232,26 @@ def rescale(value: Column, low: Column, high: Column, to_low: float, to_high: fl
 def ramp_porosity(value: Column, low: Column, high: Column) -> Column:
     """1 at ``low`` and under, 0 at ``high`` and over, linear between."""
     return F.least(F.greatest((high - value) / (high - low), F.lit(0.0)), F.lit(1.0))
+
+
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees (0 for gray), saturation and value, both 0 to 1, of channels from 0 to 255."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = F.nullif(top - low, F.lit(0))
+    sector = F.when(top == r, F.pmod((g - b) / span, F.lit(6))).when(top == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    return F.coalesce(sector * 60, F.lit(0.0)), F.coalesce(span / top, F.lit(0.0)), top / 255.0
+
+
+def in_sphere(point: Sequence[Column], centre: Sequence[float], radius: float) -> Column:
+    """Whether a point lies inside or on a sphere."""
+    return sum((p - c) * (p - c) for p, c in zip(point, centre, strict=True)) <= radius * radius
+
+
+def nominal_headers(names: Sequence[str], depth: str) -> dict[str, str]:
+    """Names of a table of nominal depths to their plain forms."""
+    return {n: "n depth (m)" if (flat := n.replace("\n", "")) == depth else re.sub("[Cc]ondicao", "cond", re.sub("[Dd]escida|[Cc]orrida", "desc", flat)) for n in names}
+
+
+def prefixed(names: Sequence[str], prefix: str) -> dict[str, str]:
+    """Columns that start with a prefix and something behind it up to white space, to that."""
+    return {n: m[1] for n in names if (m := re.match(re.escape(prefix) + r"(\S+)", n))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -99,10 +100,12 @@ def box(cells: DataFrame, axes: Sequence[str], by: Sequence[str] = ()) -> DataFr
     return cells.groupBy(*by).agg(*[F.min(a).alias(f"{a}_min") for a in axes], *[F.max(a).alias(f"{a}_max") for a in axes])
 
 
-def variogram(points: DataFrame, axes: Sequence[str], value: str, key: str, lag: float, lags: int) -> DataFrame:
+def variogram(points: DataFrame, axes: Sequence[str], value: str, key: str, lag: float, lags: int, direction: Sequence[float] | None = None, tolerance: float = 22.5) -> DataFrame:
     """(bin, gamma, pairs): half the mean squared difference of pairs by distance, up to lag * lags.
 
-    Points meet through cells as wide as the largest distance, so far pairs are never formed.
+    Points meet through cells as wide as the largest distance, so far pairs are
+    never formed. With a ``direction`` only pairs count whose line lies within
+    ``tolerance`` degrees of it, either way.
     """
     reach = lag * lags
     cell = [F.floor(F.col(a) / reach).alias(f"_c{i}") for i, a in enumerate(axes)]
@@ -116,6 +119,11 @@ def variogram(points: DataFrame, axes: Sequence[str], value: str, key: str, lag:
     for s in same[1:]:
         on = on & s
     d = F.sqrt(sum((F.col(f"a.{x}") - F.col(f"b.{x}")) ** 2 for x in axes))
-    pairs = a.join(b, on & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(d.alias("d"), ((F.col(f"a.{value}") - F.col(f"b.{value}")) ** 2).alias("q"))
+    met = a.join(b, on & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    if direction:
+        size = math.sqrt(sum(c * c for c in direction))
+        along = sum((F.col(f"a.{x}") - F.col(f"b.{x}")) * (c / size) for x, c in zip(axes, direction, strict=True))
+        met = met.where(F.abs(along) >= d * math.cos(math.radians(tolerance)))
+    pairs = met.select(d.alias("d"), ((F.col(f"a.{value}") - F.col(f"b.{value}")) ** 2).alias("q"))
     inside = pairs.where((F.col("d") > 0) & (F.col("d") <= reach))
     return inside.groupBy((F.ceil(F.col("d") / lag) - 1).cast("int").alias("bin")).agg((F.avg("q") / 2).alias("gamma"), F.count(F.lit(1)).alias("pairs"))

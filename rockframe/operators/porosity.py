@@ -132,18 +132,24 @@ def minkowski_2d(codes: DataFrame) -> DataFrame:
 
 
 def remove_steps(df: DataFrame, value: str, order: str, by: Sequence[str], width: int) -> DataFrame:
-    """Values without short steps: a run of at most ``width`` rows between equal values takes that value. A scan of each group's sorted rows."""
+    """Values without short steps. A step is a change of at least one population deviation of the group; if within ``width`` rows the values come back to less than that from the one before the step, the rows between take that value.
+
+    A scan of each group's sorted rows; its last ``width`` rows begin no step.
+    """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         v, i = rows[value].to_numpy(copy=True), 1
-        while i < len(v):
-            if v[i] != v[i - 1]:
-                same = np.flatnonzero(v[i : i + width + 1] == v[i - 1])
-                if len(same):
-                    v[i : i + same[0]] = v[i - 1]
-                    i += int(same[0])
-            i += 1
+        least = float(np.std(v)) if len(v) else 0.0
+        while i < len(v) - width:
+            if abs(v[i] - v[i - 1]) < least:
+                i += 1
+                continue
+            back = np.flatnonzero(np.abs(v[i : i + width] - v[i - 1]) < least)
+            n = int(back[0]) if len(back) else width
+            if len(back):
+                v[i : i + n] = v[i - 1]
+            i += n + 1
         return rows.assign(**{value: v})
 
     return df.groupBy(*by).applyInPandas(scan, df.schema)

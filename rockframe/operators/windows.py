@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,46 @@ def cross_correlation(a: DataFrame, order: str, left: str, right: str, by: Seque
     moved = a.select(*by, *[(F.col(left) * (F.lead(right, k).over(w) if k >= 0 else F.lag(right, -k).over(w))).alias(f"_c{i}") for i, k in enumerate(lags)])
     one = moved.groupBy(*by).agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(lags))])
     return one.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_c{i}").alias("r")) for i, k in enumerate(lags)])).alias("p")).select(*by, "p.*")
+
+
+def spiral_noise(df: DataFrame, image: str, z: str, x: str, value: str, turns: int, spacing: float, longest: float = 100.0, shortest: float = 3.0, transit: float = 0.02) -> DataFrame:
+    """Adds noise and filtered: the first harmonic around the well, limited to wave lengths along it, and the values without it.
+
+    x counts ``turns`` columns around, z rows of ``spacing``. The harmonic of
+    each row is a sum; one task per image transforms that column (one complex
+    number per row) and weighs its frequencies with smooth steps ``transit``
+    wide on both sides of the band. Missing cells count as the image's mean.
+    """
+    mean = df.groupBy(image).agg(F.avg(value).alias("_mean"))
+    rows = df.join(mean, image)
+    turn = F.col(x) * (2 * math.pi / turns)
+    d = F.coalesce(F.col(value) - F.col("_mean"), F.lit(0.0))
+    first = rows.groupBy(image, z).agg(F.sum(d * F.cos(turn)).alias("re"), F.sum(-d * F.sin(turn)).alias("im"))
+
+    def step(i: np.ndarray, low: float, high: float) -> np.ndarray:
+        t = np.clip((i - low) / (high - low), 0, 1)
+        return t * t * (3 - 2 * t)
+
+    def band(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(z)
+        n = len(part)
+        half = max(1, round(spacing * transit * n))
+        low, high = round(2 * spacing / longest * n), round(2 * spacing / shortest * n)
+        at = np.arange(n)
+        weight = step(at, low - half, low + half) * (1 - step(at, high - half, high + half))
+        got = np.fft.ifft(np.fft.fft(part["re"].to_numpy() + 1j * part["im"].to_numpy()) * weight)
+        return pd.DataFrame({image: part[image], z: part[z], "_re": got.real, "_im": got.imag})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (image, z)}
+    smooth = first.groupBy(image).applyInPandas(band, f"{image} {kinds[image]}, {z} {kinds[z]}, _re double, _im double")
+    noise = 2 / turns * (F.col("_re") * F.cos(turn) - F.col("_im") * F.sin(turn))
+    return df.join(smooth, [image, z]).withColumn("noise", noise).withColumn("filtered", F.col(value) - F.col("noise")).drop("_re", "_im")
+
+
+def noise_indicator(df: DataFrame, image: str, z: str, noise: str, width: int) -> DataFrame:
+    """(image, z, indicator): each row's mean absolute noise, averaged over ``width`` rows around; beyond the ends counts the mean of all."""
+    rows = df.groupBy(image, z).agg(F.avg(F.abs(noise)).alias("_m"))
+    mean = rows.groupBy(image).agg(F.avg("_m").alias("_all"))
+    w = Window.partitionBy(image).orderBy(z).rowsBetween(-(width // 2), (width - 1) // 2)
+    near = rows.join(mean, image).select(image, z, "_all", (F.col("_m") - F.col("_all")).alias("_d"))
+    return near.select(image, z, (F.sum("_d").over(w) / width + F.col("_all")).alias("indicator"))

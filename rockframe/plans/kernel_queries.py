@@ -1,4 +1,4 @@
-"""Queries without SQL: geometry, block filters, clusters, intrusion. Tests hold them against brute force."""
+"""Geometry, block filters, clusters, intrusion. Filters are checked by SQL; shapes, fits and intrusion have tests on small fixtures."""
 
 from __future__ import annotations
 
@@ -28,20 +28,24 @@ def q81_principal_axes(read):
     return S.object_shapes_3d(cells).select("label", "n", *r4(*S.SHAPE_3D))
 
 
-@query()
+_IMAGE = "image AS (SELECT CAST(l_partkey % 64 AS INTEGER) AS y, CAST(l_suppkey % 64 AS INTEGER) AS x, CAST(min(l_orderkey) % 6 AS INTEGER) AS label, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_BESIDE = "SELECT a.y, a.x, round({0}, 6) AS {1} FROM image a CROSS JOIN (SELECT CAST(unnest(range(-{2}, {2} + 1)) AS INTEGER) AS dy) CROSS JOIN (SELECT CAST(unnest(range(-{2}, {2} + 1)) AS INTEGER) AS dx) JOIN image b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2".format
+
+
+@query(f"WITH {_IMAGE} {_BESIDE('median(b.v)', 'v', 1)}")
 def q82_median_filter(read):
-    return B.filter_blocks(_image(read), "v", B.median(1), 1, block=16)
+    return B.filter_blocks(_image(read), "v", B.median(1), 1, block=16).select("y", "x", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(f"WITH {_IMAGE} {_BESIDE('sum(b.v * exp(-(dy * dy + dx * dx) / 2.0)) / sum(exp(-(dy * dy + dx * dx) / 2.0))', 'v', 2)}")
 def q83_gaussian_filter(read):
-    return B.filter_blocks(_image(read), "v", B.gaussian(1.0, 2), 2, block=16)
+    return B.filter_blocks(_image(read), "v", B.gaussian(1.0, 2), 2, block=16).select("y", "x", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(f"WITH {_IMAGE} {_BESIDE('least(6.0, coalesce(min(CASE WHEN b.label = 0 THEN sqrt(dy * dy + dx * dx) END), 6.0))', 'solid', 6)}")
 def q84_distance(read):
     image = _image(read).withColumn("solid", (F.col("label") != 0).cast("int"))
-    return B.filter_blocks(image, "solid", B.distance_to_background(6), 6, block=16)
+    return B.filter_blocks(image, "solid", B.distance_to_background(6), 6, block=16).select("y", "x", F.round("solid", 6).alias("solid"))
 
 
 @query()

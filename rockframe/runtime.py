@@ -27,16 +27,32 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", nam
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset (a local session, as in tests) it is set to a fresh
-    local folder; on a cluster the setting must name shared storage.
+    Where that is unset in a local session (as in tests) it is set to a fresh
+    local folder. On a cluster the setting must name shared storage: executors
+    do not see each other's folders, so a missing one is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rockframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables that this process has written and not yet deleted.
+_written: list[str] = []
+
+
+def clear_intermediates(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` has written, once the results that read them are stored; their number."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -45,6 +61,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rockframe-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
