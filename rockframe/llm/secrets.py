@@ -2,8 +2,9 @@
 
 Candidates are found by pattern. Each one's hash is counted over the corpus:
 in how many repositories and for how many owners it occurs. A value that many
-owners hold is an example that people copy (documentation keys, licence
-hashes); one that a single owner holds, is varied enough and does not read as
+owners hold, or a few owners in many repositories, is an example that people
+copy (documentation keys, licence hashes); one that a single owner holds, in
+however many repositories (forks, mirrors), is varied enough and does not read as
 a placeholder looks live. Candidates of the three fixed forms stay spans in
 any case and get the verdict beside; those of other forms are added only if
 they look live.
@@ -36,8 +37,8 @@ PATTERNS = {
     "url": (r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{6,128}@", "instr(text, '://') > 0"),
     "key_block": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "instr(text, 'PRIVATE KEY') > 0"),
 }
-#: Owners from which a value counts as widely copied; distinct characters below which it is too plain to be live.
-COPIED_OWNERS, MIN_DISTINCT, MIN_ASSIGNED = 3, 8, 6
+#: Owners from which a value counts as widely copied, and repositories from which one of two owners or more does; distinct characters below which it is too plain to be live.
+COPIED_OWNERS, COPIED_REPOS, MIN_DISTINCT, MIN_ASSIGNED = 3, 8, 8, 6
 PLACEHOLDER = r"(?i)(?:example|changeme|your|dummy|sample|placeholder|xxxx|redacted|0000000|1234567)"
 _VALUE = r"regexp_extract(x.v, r'^(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)$', 1)"
 
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each document is a repository of its own.
     """
     found = materialize(with_candidates(docs, id_col, text_col, owner_col, repo_col or id_col))
-    copied = materialize(ownership(found).where(F.col("owners") >= COPIED_OWNERS).select("h"))
+    copied = materialize(ownership(found).where((F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= COPIED_REPOS))).select("h"))
     each = found.where("size(cands) > 0").select("row", F.explode("cands").alias("c")).select("row", "c", F.col("c.h").alias("h"))
     judged = each.join(copied.withColumn("copied", F.lit(True)), "h", "left").withColumn("live", F.col("copied").isNull() & ~F.col("c.plain"))
     kept = judged.where(F.col("c.kind").isin(*BASE) | F.col("live"))

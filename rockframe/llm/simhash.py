@@ -255,6 +255,8 @@ def hex16(fp: Column) -> Column:
 MINIMA, BANDS, SKETCH_BITS, FAR = 5, 36, 2048, 383
 #: Nearest partners that a row tries first in each run; rows of a run in one task, longer runs are dealt over several.
 NEAREST, RUN_ROWS = 8, 4096
+#: Logarithm of the most bits of a sieve (16 MB).
+SIEVE_BITS = 27
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _word = lru_cache(maxsize=300_000)(xxhash.xxh64_intdigest)
 
@@ -338,16 +340,49 @@ def _banded(src: DataFrame, shingle: int) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, t bigint, same bigint, keys array<bigint>")
 
 
-def _sketched(shingle: int):
-    """(same, text) to (same, sketch, set)."""
+def _sieve(values: DataFrame, column: str) -> np.ndarray:
+    """Bits of the values of a column of longs, of a size with a bound: a clear bit means that a value is not among them.
+
+    At most 2^SIEVE_BITS bits (a row of 4096 bytes for each 32768) reach the driver.
+    """
+    n = values.count()
+    bits = 1 << max(15, min(SIEVE_BITS, (16 * n).bit_length()))
+    at = (F.pmod(F.col(column), F.lit(bits)) + 1).alias("at")
+    parts = values.select(at).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
+def _in_sieve(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (len(sieve) * 8 - 1)  # the remainder, as the size is a power of two
+    return (sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _sketched(src: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(same, sketch, set) of the wanted word sequences, once each. Texts pass a sieve where they are read, and are never shuffled."""
+    shared = src.sparkSession.sparkContext.broadcast(_sieve(wanted, "same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            sets = [shingle_set(_split(t.as_py()), shingle) for t in b.column(1)]
-            cols = [pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["same", "sketch", "set"])
-
-    return run
+            same, sets = [], []
+            for t in b.column(0):
+                words = _split(t.as_py())
+                key = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64).view(np.int64)
+                if int(key[0]) not in met and _in_sieve(shared.value, key)[0]:
+                    met.add(int(key[0]))
+                    same.append(int(key[0]))
+                    sets.append(shingle_set(words, shingle))
+            cols = [pa.array(same, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["same", "sketch", "set"])
+
+    known = src.select("text").mapInArrow(run, "same bigint, sketch binary, set array<bigint>")
+    known = materialize(known.join(wanted, "same", "left_semi"))
+    if known.groupBy("same").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():  # copies that several tasks met
+        known = materialize(known.dropDuplicates(["same"]))
+    return known
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
@@ -466,12 +501,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     shared = keyed.groupBy("key").agg(lead, F.min("same").alias("a"), F.max("same").alias("b")).where("a < b").select("key", "lead")
     runs = materialize(keyed.join(shared, "key").distinct())
 
-    one = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x"))
-    one = one.join(runs.select("same").distinct(), "same", "left_semi").select("same", F.col("x.id").alias("i"), F.col("x.t").alias("h"))
-    texts = src.join(materialize(one), src["id"].eqNullSafe(F.col("i")) & (src["t"] == F.col("h"))).select("same", "text")
-    known = materialize(texts.mapInArrow(_sketched(shingle), "same bigint, sketch binary, set array<bigint>"))
-    if known.groupBy("same").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():  # rows that repeat id and text
-        known = materialize(known.dropDuplicates(["same"]))
+    known = _sketched(src, materialize(runs.select("same").distinct()), shingle)
     sketches, sets = known.select("same", "sketch"), known.select("same", "set")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -527,7 +557,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of similar texts: the one with the smallest id, rows without one coming last.
 
     Rows that repeat an id are rows of their own, told apart by their texts.
-    What goes is told to the texts, as it is less than what stays.
+    Texts that pass no sieve of those that go are kept where they are; only the
+    others meet the table of what goes.
     """
     rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity).groupBy("component", "id", "t").agg(F.count(F.lit(1)).alias("c")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")
@@ -535,10 +566,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = rows.join(roots, "component").withColumn("root", F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h")))
     judged = materialize(judged.select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t"), "c", "root").where("NOT root OR c > 1"))
 
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(judged.select("_gone_t"), "_gone_t"))
+
+    @F.arrow_udf("boolean")
+    def maybe(t: pa.Array) -> pa.Array:
+        return pa.array(_in_sieve(shared.value, t.to_numpy(zero_copy_only=False)))
+
     def of(which: DataFrame, how: str) -> DataFrame:
-        return docs.join(which.select("_gone_id", "_gone_t"), docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_t")), how)
+        some = docs.where(maybe(F.xxhash64(text_col)))
+        return some.join(which.select("_gone_id", "_gone_t"), some[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(some[text_col]) == F.col("_gone_t")), how)
 
-    out = of(judged, "left_anti").select(*docs.columns)
+    out = docs.where(~maybe(F.xxhash64(text_col))).unionByName(of(judged, "left_anti").select(*docs.columns))
     twice = judged.where("root")
     if twice.limit(1).count():
         again = of(twice, "left_semi").withColumn("_t", F.xxhash64(text_col)).dropDuplicates([id_col, "_t"])
