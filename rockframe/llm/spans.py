@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<s:bigint,e:bigint,v:string>"
+#: Matches whose places are added up in one list; lists are joined at the end, so a text with very many matches costs no square.
+BLOCK = 256
 
 
 def literal(pattern: str) -> str:
@@ -26,9 +28,13 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, str |
         p = literal(pattern)
         hit = f"({gate}) AND {text} RLIKE {p}" if gate else f"{text} RLIKE {p}"
         df = df.withColumn(f"_{name}", F.expr(f"CASE WHEN {hit} THEN arrays_zip(split({text}, {p}, -1) AS g, regexp_extract_all({text}, {p}, 0) AS m) END".replace(" AS g,", ",").replace(" AS m)", ")")))
-        df = df.withColumn(f"_{name}", F.expr(f"transform(_{name}, x -> struct(char_length(x['0']) AS g, x['1'] AS m))"))
-        step = "struct(a.p + x.g + char_length(x.m) AS p, concat(a.o, array(struct(a.p + x.g AS s, a.p + x.g + char_length(x.m) AS e, x.m AS v))) AS o)"
-        walk = f"aggregate(filter(_{name}, x -> x.m IS NOT NULL), cast(struct(0L AS p, array() AS o) AS struct<p:bigint,o:array<{SPAN}>>), (a, x) -> cast({step} AS struct<p:bigint,o:array<{SPAN}>>), a -> a.o)"
+        df = df.withColumn(f"_{name}", F.expr(f"filter(transform(_{name}, x -> struct(char_length(x['0']) AS g, x['1'] AS m)), x -> x.m IS NOT NULL)"))
+        state = f"struct<p:bigint,o:array<{SPAN}>>"
+        step = f"cast(struct(a.p + x.g + char_length(x.m) AS p, concat(a.o, array(struct(a.p + x.g AS s, a.p + x.g + char_length(x.m) AS e, x.m AS v))) AS o) AS {state})"
+        inside = f"aggregate(block, cast(struct(t.last.p AS p, array() AS o) AS {state}), (a, x) -> {step})"
+        blocks = f"transform(sequence(0, (size(_{name}) - 1) div {BLOCK}), i -> slice(_{name}, i * {BLOCK} + 1, {BLOCK}))"
+        whole = f"struct<last:{state},done:array<array<{SPAN}>>>"
+        walk = f"CASE WHEN size(_{name}) > 0 THEN aggregate({blocks}, cast(struct(struct(0L AS p, array() AS o) AS last, array() AS done) AS {whole}), (t, block) -> cast(struct({inside} AS last, concat(t.done, array(t.last.o)) AS done) AS {whole}), t -> flatten(concat(t.done, array(t.last.o)))) END"
         df = df.withColumn(name, F.expr(f"coalesce({walk}, cast(array() AS array<{SPAN}>))")).drop(f"_{name}")
     return df
 
