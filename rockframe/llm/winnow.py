@@ -1,11 +1,15 @@
 """Winnowing fingerprints, in SQL functions alone.
 
-A text is cut in pieces: runs of at most ``PIECE`` code points without ASCII
-white space. Hashes roll over ``GRAM`` successive pieces (by doubling, so each
-hash is built from two shorter ones), and of every ``WINDOW`` successive hashes
-the least is chosen, the rightmost of equals. So each passage of
-``GRAM + WINDOW - 1`` pieces that two texts share leaves a common hash, and its
-position says where.
+A text is cut in pieces: a run of at most ``RUN`` code points without ASCII
+white space is cut in ``PIECE`` code points each, from its start; in a longer
+run (scripts without spaces, addresses, code) each code point is a piece, so
+that a passage is seen there at any offset. Hashes roll over ``GRAM``
+successive pieces (by doubling, so each hash is built from two shorter ones),
+and of every ``WINDOW`` successive hashes the least is chosen, the rightmost of
+equals. So each passage of ``GRAM + WINDOW - 1`` pieces that two texts share
+leaves a common hash, and its position says where. A passage that begins or
+ends inside a run is sure of its pieces from the next run on, or, inside runs
+that are longer than ``RUN`` in both texts, from its first code point on.
 
 Null texts count as empty; an empty text has no hash. A text of fewer than
 ``GRAM`` pieces is one gram, one of fewer than ``WINDOW`` grams one window.
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 from rockframe.runtime import n_shuffle
 
-PIECE, GRAM, WINDOW = 4, 4, 8
+PIECE, RUN, GRAM, WINDOW = 4, 16, 4, 8
+#: Fixed value: what is not ASCII white space, as a class within a SQL string.
+_SOLID = "[^\\\\x20\\\\x09-\\\\x0D]"
 #: Most buckets of neighbouring ids (their bounds are part of the plan); larger buckets sort on disk.
 MAX_BUCKETS = 8192
 #: A chosen gram is one long: 32 bits of hash above 31 bits of (LAST - position), so that the least is the rightmost of equals.
@@ -31,10 +37,17 @@ def _beside(array: str, by: int, merge: str) -> Column:
     return F.expr(f"zip_with(slice({array}, 1, {n}), slice({array}, {by} + 1, {n}), (a, b) -> {merge})")
 
 
+def pieces(text: str) -> Column:
+    """The pieces of a text; one expression over the runs where some run is long, one over the text where none is."""
+    cut = f"CASE WHEN char_length(w) <= {PIECE} THEN array(w) WHEN char_length(w) <= {RUN} THEN transform(sequence(1, char_length(w), {PIECE}), i -> substring(w, i, {PIECE})) ELSE split(w, '') END"
+    by_run = f"flatten(transform(regexp_extract_all({text}, '{_SOLID}+', 0), w -> {cut}))"
+    return F.expr(f"CASE WHEN {text} RLIKE '{_SOLID}{{{RUN + 1}}}' THEN {by_run} ELSE regexp_extract_all(coalesce({text}, ''), '{_SOLID}{{1,{PIECE}}}', 0) END")
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: array of packed (hash, position), by ascending position. ``GRAM`` and ``WINDOW`` are powers of two."""
     t, g, p = f"_{out}_t", f"_{out}_g", f"_{out}_p"
-    df = df.withColumn(t, F.expr(f"regexp_extract_all(coalesce({text}, ''), '[^\\\\x20\\\\x09-\\\\x0D]{{1,{PIECE}}}', 0)"))
+    df = df.withColumn(t, pieces(text))
     df = df.withColumn(g, F.expr(f"transform({t}, x -> xxhash64(x))"))
     by = 1
     while by < GRAM:

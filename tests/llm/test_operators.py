@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rockframe.llm import langid, packing, pii, quality, queries, secrets, sharding, simhash, spm, toxicity, winnow
+from rockframe.llm import langid, packing, pii, quality, queries, secrets, sharding, simhash, spans, spm, toxicity, winnow
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -184,9 +184,41 @@ def test_repeated_and_null_ids_are_told_apart_by_text(spark):
 # --- 2: fingerprints
 
 
-def brute_winnow(text):
-    pieces = re.findall(r"[^\x20\x09-\x0D]{1,4}", text or "")
-    return max(0, len(pieces) - winnow.GRAM + 1) if len(pieces) >= winnow.GRAM else bool(pieces), pieces
+def brute_pieces(text):
+    runs = BREAK.findall(text or "")
+    return [p for r in runs for p in (list(r) if len(r) > winnow.RUN else [r[i : i + winnow.PIECE] for i in range(0, len(r), winnow.PIECE)])]
+
+
+def test_pieces(spark):
+    texts = ["", None, "ab cdefgh  i", "x" * 16, "x" * 17, "é\U0001f600\u2028" * 9 + " abcde", "a\x85" * 12 + "\tshort words", "plain words only, none of them long"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["p"] for r in df.select("i", winnow.pieces("text").alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_pieces(t) for t in texts]
+
+
+def test_passages_are_seen_at_any_offset(spark):
+    rng = np.random.default_rng(5)
+    run = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 400)))
+    rows = [(run[40:300],), *[("乙" * k + run,) for k in range(1, 9)]]
+    fps = spark.createDataFrame(rows, "text string")
+    fps = winnow.with_fingerprint(fps, "text", "fp").select("text", winnow.hashes("fp").alias("h")).collect()
+    own = set(next(r["h"] for r in fps if r["text"] == rows[0][0]))
+    for r in fps:
+        assert len(own & set(r["h"])) >= len(own) - 4  # windows over the passage's ends may choose otherwise
+    words = " ".join(f"w{i * 7919 % 1009}" for i in range(60))  # a shared passage of 11 pieces, words of at most 5
+    shared = " ".join(f"q{i}" for i in range(11))
+    two = spark.createDataFrame([(f"{words} {shared} end",), (f"other {shared} {words[::-1]}",)], "text string")
+    a, b = (set(r["h"]) for r in winnow.with_fingerprint(two, "text", "fp").select(winnow.hashes("fp").alias("h")).collect())
+    assert a & b
+
+
+def test_places_of_very_many_matches(spark):
+    n = 30000
+    text = "é12 " * n
+    df = spans.with_matches(spark.createDataFrame([(text,), ("7",), ("",), (None,)], "text string"), "text", {"m": ("[0-9]+", None)})
+    got = df.select("m").collect()
+    assert [(x["s"], x["e"], x["v"]) for x in got[0]["m"]] == [(4 * i + 1, 4 * i + 3, "12") for i in range(n)]
+    assert [len(r["m"]) for r in got[1:]] == [1, 0, 0]
 
 
 def test_edited_texts_and_likeness(spark, sf_dir, texts):
