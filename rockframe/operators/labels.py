@@ -97,24 +97,40 @@ def same_depths(a: DataFrame, b: DataFrame, depth: str, by: Sequence[str], toler
     return both.groupBy(*by).agg(F.min(close).alias("same"))
 
 
-def throat_ids(cells: DataFrame, throat: str, label: str) -> DataFrame:
-    """(throat, id): 'a-b' of the two labels with the most cells of each throat, a < b; ids that repeat get a, b, c ... behind, by throat.
+def throat_ids(cells: DataFrame, throat: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, throat, id): 'a-b' of the two labels with the most cells of each throat, a < b; ids that repeat (in ``by``) get a, b, c ... behind, by throat.
 
     Throats with fewer than two labels but 0 have no id and no row; of labels
     with equal counts the lower goes first.
     """
-    counts = cells.where(F.col(label) != 0).groupBy(throat, label).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(throat).orderBy(F.desc("_n"), label))).where("_r <= 2")
-    pair = top.groupBy(throat).agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.count(F.lit(1)).alias("_k")).where("_k = 2")
-    named = pair.select(throat, F.concat_ws("-", "_a", "_b").alias("id"))
-    return unique_ids(named, "id", throat)
+    keys = [*by, throat]
+    counts = cells.where(F.col(label) != 0).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), label))).where("_r <= 2")
+    pair = top.groupBy(*keys).agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.count(F.lit(1)).alias("_k")).where("_k = 2")
+    return unique_ids(pair.select(*keys, F.concat_ws("-", "_a", "_b").alias("id")), "id", throat, by)
 
 
-def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Names that occur once stay; the others get a, b, c ... behind (by character code), in ``order``."""
-    w = Window.partitionBy(name)
+#: Characters from a on: those before the surrogates, which are no characters of their own, and all.
+_BELOW, _LETTERS = 0xD800 - 97, 0x110000 - 0x800 - 97
+
+
+def letter(i: Column) -> Column:
+    """a, b, c ... by character code for 1, 2, 3 ...; surrogates are passed over, and after the last character two are told (aa, ab ...)."""
+
+    def one(k: Column) -> Column:  # k from 0
+        code = k + 97 + F.when(k >= _BELOW, 0x800).otherwise(0)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    k = i.cast("bigint") - 1
+    high = F.floor(k / _LETTERS)  # k is below 2^53 by far
+    return F.when(k < _LETTERS, one(k)).otherwise(F.concat(one(high - 1), one(k - high * _LETTERS)))
+
+
+def unique_ids(df: DataFrame, name: str, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """Names that occur once (in ``by``) stay; the others get a, b, c ... behind (see ``letter``), in ``order``."""
+    w = Window.partitionBy(*by, name)
     out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(order)))
-    return out.withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.decode(F.unhex(F.lpad(F.hex(F.col("_i") + 96), 4, "0")), "UTF-16BE"))).otherwise(F.col(name))).drop("_n", "_i")
+    return out.withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), letter(F.col("_i")))).otherwise(F.col(name))).drop("_n", "_i")
 
 
 def porosimetry(df: DataFrame, radius: str, snw: str, fraction: float = 0.0) -> DataFrame:

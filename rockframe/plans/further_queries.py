@@ -72,11 +72,8 @@ def q118_same_depths(read):
 @query("""WITH c AS (SELECT l_orderkey AS t, l_suppkey % 6 AS label, count(*) AS n FROM lineitem WHERE l_suppkey % 6 <> 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, label) AS r FROM c), p AS (SELECT t, min(label) || '-' || max(label) AS id FROM r WHERE r <= 2 GROUP BY 1 HAVING count(*) = 2)
 SELECT t // 20 AS block, t, CASE WHEN count(*) OVER (PARTITION BY t // 20, id) > 1 THEN id || chr(CAST(96 + row_number() OVER (PARTITION BY t // 20, id ORDER BY t) AS INTEGER)) ELSE id END AS id FROM p""")
 def q119_throat_ids(read):
-    cells = read("lineitem").select(F.col("l_orderkey").alias("t"), (F.col("l_suppkey") % 6).alias("label"))
-    block = F.expr("t div 20")
-    named = L.throat_ids(cells.withColumn("own", F.col("t")), "t", "label").withColumn("id", F.regexp_replace("id", "[^0-9-].*$", ""))
-    wide = L.unique_ids(named.select(block.alias("block"), "t", F.concat_ws("|", block, "id").alias("id")), "id", "t")
-    return wide.withColumn("id", F.regexp_replace("id", "^[0-9]+[|]", ""))
+    cells = read("lineitem").select(F.expr("l_orderkey div 20").alias("block"), F.col("l_orderkey").alias("t"), (F.col("l_suppkey") % 6).alias("label"))
+    return L.throat_ids(cells, "t", "label", ["block"])
 
 
 @query("SELECT l_linenumber * 0.5 AS radius, round(1 / (l_linenumber * 0.5), 5) AS inverse, round(ln(1 / (l_linenumber * 0.5)), 5) AS log_inverse, round(0.9 * l_linenumber / 16, 5) AS snw, round(1 - 0.9 * l_linenumber / 16, 5) AS sw, round(1 - l_linenumber / 16, 5) AS sws FROM lineitem")

@@ -77,6 +77,12 @@ def test_sub_scale_models(spark):
 def test_unique_ids_and_headers(spark):
     df = spark.createDataFrame([(1, "1-2"), (2, "1-2"), (3, "1-3")], "t int, id string")
     assert [r["id"] for r in L.unique_ids(df, "id", "t").orderBy("t").collect()] == ["1-2a", "1-2b", "1-3"]
+    many = L.unique_ids(spark.range(60_000).select("id", F.lit("1-2").alias("name")), "name", "id")  # more than there are characters below the surrogates
+    assert many.distinct().count() == 60_000 and many.where(f"id = {0xD800 - 97}").first()["name"] == "1-2\ue000"
+    at = spark.createDataFrame([(1,), (26,), (0xD800 - 97,), (0xD800 - 96,), (0x110000 - 0x800 - 97,), (0x110000 - 0x800 - 96,), (2 * (0x110000 - 0x800 - 97) + 2,)], "i int")
+    assert [r[0] for r in at.select(L.letter(F.col("i"))).collect()] == ["a", "z", "\ud7ff", "\ue000", "\U0010ffff", "aa", "bb"]
+    cells = spark.createDataFrame([(t, label) for t in (1, 2, 21) for label in (3, 5)], "t int, label int").withColumn("block", F.expr("t div 20"))
+    assert [r["id"] for r in L.throat_ids(cells, "t", "label", ["block"]).orderBy("t").collect()] == ["3-5a", "3-5b", "3-5"]
     assert C.nominal_headers(["prof\n", "descida", "Corrida 2", "Condicao", "x"], "prof") == {"prof\n": "n depth (m)", "descida": "desc", "Corrida 2": "desc 2", "Condicao": "cond", "x": "x"}
     assert C.prefixed(["input-a b", "result-x", "input-"], "input-") == {"input-a b": "a"}
     points = spark.createDataFrame([(0.0, 0.0, 2.0), (1.0, 1.0, 1.0), (2.0, 1.0, 1.0)], "x double, y double, z double")
