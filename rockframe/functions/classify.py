@@ -230,8 +230,9 @@ def rescale(value: Column, low: Column, high: Column, to_low: float, to_high: fl
 
 
 def ramp_porosity(value: Column, low: Column, high: Column) -> Column:
-    """1 at ``low`` and under, 0 at ``high`` and over, linear between."""
-    return F.least(F.greatest((high - value) / (high - low), F.lit(0.0)), F.lit(1.0))
+    """1 at ``low`` and under, 0 at ``high`` and over, linear between; a step where both are equal (1 up to it)."""
+    step = F.when(value <= low, 1.0).otherwise(0.0)
+    return F.when(high == low, step).otherwise(F.least(F.greatest(F.try_divide(high - value, high - low), F.lit(0.0)), F.lit(1.0)))
 
 
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -74,6 +74,11 @@ def test_sub_scale_models(spark):
     assert set(radii(S.leverett_radius(t, "phi", [1.0], [1.0], 1e-3))) == {1e-3}
 
 
+def test_ramp_of_equal_limits(spark):
+    t = spark.createDataFrame([(1.0, 2.0, 2.0), (2.0, 2.0, 2.0), (3.0, 2.0, 2.0), (None, 2.0, 2.0), (3.0, 2.0, 4.0), (9.0, 2.0, 4.0)], "v double, low double, high double")
+    assert [r[0] for r in t.select(C.ramp_porosity(F.col("v"), F.col("low"), F.col("high"))).collect()] == [1.0, 1.0, 0.0, 0.0, 0.5, 0.0]
+
+
 def test_unique_ids_and_headers(spark):
     df = spark.createDataFrame([(1, "1-2"), (2, "1-2"), (3, "1-3")], "t int, id string")
     assert [r["id"] for r in L.unique_ids(df, "id", "t").orderBy("t").collect()] == ["1-2a", "1-2b", "1-3"]
