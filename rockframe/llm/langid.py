@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from rockframe.runtime import bounded_batches
 
 FIT_ROWS, WORDS, GRAMS, ORDERS = 3000, 20000, 6000, (5, 4, 3, 2, 1)
 #: A word counts as known if so many fitted texts' worth of it was seen.
-MIN_COUNT, CACHE_WORDS, SLICE, UND = 3, 300_000, 65536, "und"
+MIN_COUNT, CACHE_WORDS, SLICE, UND = 3, 100_000, 65536, "und"
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -98,15 +99,24 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     return {"langs": langs, "units": units}
 
 
+def compact(model: dict) -> dict:
+    """The model as workers get it: units in one list for each length, and one matrix of frequencies centred over the languages."""
+    names = {k: [u for n, u in model["units"] if n == k] for k in (0, *ORDERS)}
+    freq = [v - np.mean(v) for v in (model["units"][k, u] for k, own in names.items() for u in own)]
+    return {"langs": model["langs"], "names": names, "freq": np.array(freq, np.float32).reshape(len(freq), max(1, len(model["langs"])))}
+
+
 class Scorer:
-    """Scores texts under a model; one per worker task."""
+    """Scores texts under a model or its compact form; one per worker."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.rows: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
-        for i, (n, unit) in enumerate(model["units"]):
-            self.rows[n][unit] = i
-        self.freq = np.array([v - np.mean(v) for v in model["units"].values()], np.float32).reshape(len(model["units"]), max(1, len(self.langs)))
+        model = model if "names" in model else compact(model)
+        self.langs, self.freq = model["langs"], model["freq"]
+        self.rows: dict[int, dict[str, int]] = {}
+        at = 0
+        for n, own in model["names"].items():
+            self.rows[n] = dict(zip(own, range(at, at + len(own)), strict=True))
+            at += len(own)
         self.row: dict[str, int] = {}
         self.table = np.zeros((CACHE_WORDS, max(1, len(self.langs))), np.float32)
 
@@ -151,22 +161,22 @@ class Scorer:
         return self.langs[best], float(z[best] / z.sum())
 
 
-_scorers: dict[object, Scorer] = {}
+#: A worker drops a broadcast, and with it the scorer, once a task comes that doesn't use it.
+_scorers: WeakKeyDictionary[Broadcast, Scorer] = WeakKeyDictionary()
 
 
-def _scorer(shared) -> Scorer:
+def _scorer(shared: Broadcast) -> Scorer:
     """One scorer, and one memory of words, per model and worker process."""
-    if shared.value["key"] not in _scorers:
-        _scorers.clear()
-        _scorers[shared.value["key"]] = Scorer(shared.value)
-    return _scorers[shared.value["key"]]
+    if shared not in _scorers:
+        _scorers[shared] = Scorer(shared.value)
+    return _scorers[shared]
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (as k0, k1 ...), lang_pred and score; ``und`` and 0 for a null text or one without a letter."""
     bounded_batches(docs.sparkSession)
     keep = keep or []
-    shared = docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
+    shared = docs.sparkSession.sparkContext.broadcast(compact(model))
     src = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = "".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
 
@@ -191,7 +201,7 @@ def filter_documents(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """
     model = fit(docs.where(fold("doc_id", 3) != 1))
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
+    shared = docs.sparkSession.sparkContext.broadcast(compact(model))
 
     @F.arrow_udf("struct<lang_pred:string, score:double>")
     def found(texts: pa.Array) -> pa.Array:

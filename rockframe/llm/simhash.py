@@ -17,7 +17,6 @@ until each run is small, so no group has to fit one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -258,7 +257,6 @@ NEAREST, RUN_ROWS = 8, 4096
 #: Logarithm of the most bits of a sieve (16 MB).
 SIEVE_BITS = 27
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_word = lru_cache(maxsize=300_000)(xxhash.xxh64_intdigest)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -274,7 +272,7 @@ _LANES = _mixed(np.arange(1, SKETCH_BITS // 64 + 1, dtype=np.uint64) * np.uint64
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Distinct hashes of the runs of ``shingle`` words, ascending; fewer words are one run."""
-    w = np.fromiter(map(_word, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - shingle + 1)
     h = np.full(n, min(shingle, len(w)), np.uint64)
     for j in range(min(shingle, len(w))):

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -441,6 +442,19 @@ def test_languages_held_out(spark, sf_dir):
     assert (held["lang_pred"] == lang[held.index]).mean() > 0.98
 
 
+def test_workers_drop_the_language_model(spark):
+    docs = spark.createDataFrame([(i, ("the cat sat on the mat", "der hund lag auf dem bett")[i % 2], "ed"[i % 2]) for i in range(40)], "doc_id bigint, text string, lang string").repartition(8)
+    model = langid.fit(docs)
+    assert {tuple(r) for r in langid.predict(docs, model, keep=["lang"]).select("k0", "lang_pred").collect()} == {("e", "e"), ("d", "d")}
+    whole, packed = langid.Scorer(model), langid.Scorer(langid.compact(model))
+    assert all(whole(t) == packed(t) for t in ("the dog", "auf hunde", "zzz", ""))
+
+    def held(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([len(langid._scorers) + sum(b.num_rows for b in batches) * 0])], names=["n"])
+
+    assert {r[0] for r in spark.range(8, numPartitions=8).mapInArrow(held, "n bigint").collect()} == {0}
+
+
 def test_unseen_words_back_off():
     model = {"langs": ["a", "b"], "units": {(0, "known"): np.array([-1.0, -3.0]), (3, "xyz"): np.array([-5.0, -2.0]), (1, "q"): np.array([-1.0, -4.0])}}
     s = langid.Scorer(model)
