@@ -252,6 +252,8 @@ def hex16(fp: Column) -> Column:
 
 #: Similar texts: bands of minima that propose pairs, bits of the sketch that judges them, differing bits beyond which a pair is given up.
 MINIMA, BANDS, SKETCH_BITS, FAR = 5, 36, 2048, 383
+#: Cells in which the shingles of a set are counted.
+CELLS = 1024
 #: Nearest partners that a row tries first in each run; rows of a run in one task, longer runs are dealt over several.
 NEAREST, RUN_ROWS = 8, 4096
 #: Logarithm of the most bits of a sieve (16 MB).
@@ -309,6 +311,24 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
 
+def cells(found: np.ndarray) -> bytes:
+    """Shingles of a set per cell, a cell being a run of bits of their hash; one byte each, 255 and more count as 255."""
+    at = (_mixed(found.view(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of these sizes and cells (a row each) can have the similarity; no pair that has it is refused.
+
+    Two sets differ by at least as many shingles as their counts differ in all
+    cells, so what they share is at most half of what is left of their sizes.
+    """
+    apart = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
+    total = size_a.astype(np.int64) + size_b
+    shared = (total - apart) / 2
+    return shared >= similarity * (total - shared)
+
+
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -359,7 +379,7 @@ def _in_sieve(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _sketched(src: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(same, sketch, set) of the wanted word sequences, once each. Texts pass a sieve where they are read, and are never shuffled."""
+    """(same, sketch, cells, set) of the wanted word sequences, once each. Texts pass a sieve where they are read, and are never shuffled."""
     shared = src.sparkSession.sparkContext.broadcast(_sieve(wanted, "same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,19 +393,19 @@ def _sketched(src: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     met.add(int(key[0]))
                     same.append(int(key[0]))
                     sets.append(shingle_set(words, shingle))
-            cols = [pa.array(same, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["same", "sketch", "set"])
+            cols = [pa.array(same, pa.int64()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (sketch, cells)), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["same", "sketch", "cells", "set"])
 
-    known = src.select("text").mapInArrow(run, "same bigint, sketch binary, set array<bigint>")
+    known = src.select("text").mapInArrow(run, "same bigint, sketch binary, cells binary, set array<bigint>")
     known = materialize(known.join(wanted, "same", "left_semi"))
     if known.groupBy("same").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():  # copies that several tasks met
         known = materialize(known.dropDuplicates(["same"]))
     return known
 
 
-def _matrix(sketches: pa.Array) -> np.ndarray:
-    """Rows of 64-bit words of a column of sketches."""
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), SKETCH_BITS // 64)
+def _matrix(values: pa.Array, width: int = SKETCH_BITS // 64, kind: type = np.uint64) -> np.ndarray:
+    """Rows of numbers of a column of bytes: 64-bit words of sketches, or bytes of cells."""
+    return np.frombuffer(b"".join(values.to_pylist()), kind).reshape(len(values), width)
 
 
 def _wide_planes(rows: np.ndarray) -> list[int]:
@@ -446,14 +466,18 @@ def _run_pairs(run: np.ndarray, comp: np.ndarray, guest: np.ndarray, minor: np.n
                 yield np.full(len(j), at + i), j
 
 
-def _cross_pairs(nearest: int | None):
-    """A task over rows (run, same, component, guest, minor, sketch) sorted by run: distinct pairs (src, dst); only each row's ``nearest`` where given."""
+def _cross_pairs(nearest: int | None, similarity: float):
+    """A task over rows (run, same, component, guest, minor, size, sketch, cells) sorted by run: distinct pairs (src, dst) whose sets may be alike; only each row's ``nearest`` where given."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def found(cols: list) -> pa.RecordBatch:
-        run, same, comp, guest, minor = (np.asarray(c) for c in cols[:5])
-        rows = cols[5]
-        got = [(i, j) for i, j in _run_pairs(run, comp, guest, minor, rows)]
+        run, same, comp, guest, minor, size = (np.asarray(c) for c in cols[:6])
+        rows, counts, got = cols[6], cols[7], []
+        for i, j in _run_pairs(run, comp, guest, minor, rows):
+            for k in range(0, len(i), 2048):
+                a, b = i[k : k + 2048], j[k : k + 2048]
+                may = may_be_alike(size[a], size[b], counts[a], counts[b], similarity)
+                got.append((a[may], b[may]))
         i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         if nearest and len(i):
             d = np.concatenate([_apart(rows[i[k : k + 8192]], rows[j[k : k + 8192]]) for k in range(0, len(i), 8192)])
@@ -471,7 +495,7 @@ def _cross_pairs(nearest: int | None):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [*[c.to_numpy(zero_copy_only=False) for c in b.columns[:5]], _matrix(b.column(5))]
+            cols = [*[c.to_numpy(zero_copy_only=False) for c in b.columns[:6]], _matrix(b.column(6)), _matrix(b.column(7), CELLS, np.uint8)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
             if count + cut >= RUN_ROWS and (cut or held[-1][0][-1] != cols[0][0]):
                 held.append([c[:cut] for c in cols])
@@ -501,6 +525,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
 
     known = _sketched(src, materialize(runs.select("same").distinct()), shingle)
     sketches, sets = known.select("same", "sketch"), known.select("same", "set")
+    judges = known.select("same", F.size("set").alias("size"), "sketch", "cells")
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("same").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("same").alias("dst"), F.col("set").alias("b")), "dst")
@@ -525,8 +550,8 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         home = F.pmod(F.xxhash64("same", "key"), "cut").cast("int")
         guests = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cut") - 1)).otherwise(F.array(home))
         dealt = open_.withColumn("home", home).withColumn("at", F.explode(guests)).withColumn("run", F.xxhash64("key", "at")).withColumn("guest", F.col("at") != F.col("home"))
-        dealt = dealt.select("same", "run", "component", "guest", "minor").join(sketches, "same").select("run", "same", "component", "guest", "minor", "sketch")
-        pairs = dealt.repartition(parts, "run").sortWithinPartitions("run", "same").mapInArrow(_cross_pairs(nearest), "src bigint, dst bigint")
+        dealt = dealt.select("same", "run", "component", "guest", "minor").join(judges, "same").select("run", "same", "component", "guest", "minor", "size", "sketch", "cells")
+        pairs = dealt.repartition(parts, "run").sortWithinPartitions("run", "same").mapInArrow(_cross_pairs(nearest, similarity), "src bigint, dst bigint")
         pairs = materialize(pairs.distinct().join(tried, ["src", "dst"], "left_anti"))
         links = links.union(alike(pairs))
         tried = tried.union(pairs)
@@ -538,12 +563,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, component) of each distinct id: texts linked where the Jaccard similarity of their word shingles is ``similarity`` (0.8 or more).
 
     Bands of minima of the shingle sets propose pairs, bit-sliced comparison of
-    wide SimHashes of the sets judges them, and those that pass are decided by
-    their whole sets. A text is first compared with the leader of each of its
+    wide SimHashes of the sets judges them, counts of their shingles in cells
+    refuse those that cannot be alike, and what passes is decided by the whole
+    sets. A text is first compared with the leader of each of its
     runs (texts of one band key), so a large group of near copies mostly joins
     in work proportional to its rows; afterwards only rows of other components
-    than the largest of their run are compared with it. No pair is dropped for
-    the size of a run: long ones are dealt over several tasks. Texts of equal
+    than the largest of their run are compared with it; the counts leave few
+    pairs of texts that are nearly alike, so their number does not grow with
+    the square of a group. No pair is dropped for the size of a run: long ones
+    are dealt over several tasks. Texts of equal
     words are one node from the start. Rows without an id link others.
     """
     rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity))

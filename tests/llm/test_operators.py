@@ -148,6 +148,55 @@ def test_a_large_group_of_near_copies_is_linked_without_all_pairs(spark):
     assert not list(simhash._run_pairs(*one.values(), np.zeros((300, simhash.SKETCH_BITS // 64), np.uint64)))
 
 
+def test_pairs_of_nearly_alike_texts_do_not_grow_with_the_square(spark, monkeypatch):
+    """Half of a group is linked, half is alike to it by 0.7: twice the texts propose about twice the pairs, and links are those of brute force."""
+    plain, made = simhash._cross_pairs, {}
+
+    def variants(n):
+        rng, rows = np.random.default_rng(5), []
+        for k in range(n):
+            own = [f"w{i}" for i in range(150)]
+            for at in rng.choice(150, 1 if k % 2 else 4, replace=False):
+                own[at] = f"v{k}x{at}"
+            rows.append((k, " ".join(own)))
+        return rows
+
+    for n in (200, 400):
+        rows, out = variants(n), spark.sparkContext.accumulator(0)
+
+        def counted(*args, out=out):
+            task = plain(*args)
+
+            def run(batches):
+                for b in task(batches):
+                    out.add(b.num_rows)
+                    yield b
+
+            return run
+
+        monkeypatch.setattr(simhash, "_cross_pairs", counted)
+        got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        made[n] = out.value
+        assert got == brute_similar(rows) and len(set(got.values())) > n // 4
+    assert made[400] < 3 * made[200] + 400 and made[400] < 20 * 400, made
+
+
+@pytest.mark.parametrize("size", [1, 7, 146, 3000, 300_000])
+def test_counts_in_cells_refuse_no_pair_that_is_alike(size):
+    """Shared parts from half to all; the largest sets fill cells beyond what a byte counts."""
+    rng, refused = np.random.default_rng(size), 0
+    for share in [*np.linspace(0.5, 1, 30 if size < 10_000 else 8), 0.8, 0.89]:
+        a = rng.integers(-(1 << 62), 1 << 62, size)
+        b = np.concatenate((a[: int(size * share)], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, size - int(size * share) + 1)))))
+        b = b if len(b) else a
+        n = len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(simhash.cells(s), np.uint8)[None] for s in (a, b))
+        may = bool(simhash.may_be_alike(np.array([len(a)]), np.array([len(b)]), x, y, 0.8)[0])
+        assert may or n < 0.8 * (len(a) + len(b) - n)
+        refused += not may
+    assert refused or size > 3000 or size < 7
+
+
 @pytest.mark.parametrize("n", [30, 200])
 def test_pairs_of_a_run_across_components(n):
     """Short and long runs: every pair within FAR bits, of two components, one of them minor, guests meeting residents only."""
