@@ -568,10 +568,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets. A text is first compared with the leader of each of its
     runs (texts of one band key), so a large group of near copies mostly joins
     in work proportional to its rows; afterwards only rows of other components
-    than the largest of their run are compared with it; the counts leave few
-    pairs of texts that are nearly alike, so their number does not grow with
-    the square of a group. No pair is dropped for the size of a run: long ones
-    are dealt over several tasks. Texts of equal
+    than the largest of their run are compared with it; first with the 8
+    nearest, so that leaves at most 8 pairs per row and run, and then with all,
+    of which the counts leave few that are not alike. No pair is dropped for
+    the size of a run: long ones are dealt over several tasks. Texts of equal
     words are one node from the start. Rows without an id link others.
     """
     rows = materialize(_similar_rows(docs, id_col, text_col, shingle, similarity))
